@@ -7,7 +7,7 @@ source's threshold. Only one row a source ever goes to the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from tagloom.llm.bpe import VOCABULARY_FOLDER, count_tokens
 
 #: Bits of the hash that one histogram resolves, and bits that are used in all.
 LEVEL_BITS, HASH_BITS = 10, 60
+#: Rounds in which documents are added to a budget.
+FILLS = 4
 MOST_SOURCES = 10_000
 
 
@@ -28,42 +30,41 @@ class _Plan:
     size: int = 0
     share: float = 0.0
     full: int = 0
-    rest: float = 0.0
-    threshold: int = 0  # hashes below it get one copy more
-    done: bool = False
+    rest: float = 0.0  # budget not yet filled
+    start: int = 0  # hashes from which on the next rule may take documents
+    rules: list[tuple[int, int, int]] = field(default_factory=list)  # one copy more for low <= hash < high and tokens <= most
 
 
-def _refine(sizes: DataFrame, plans: dict[str, _Plan], bits: int, hash_bits: int) -> None:
-    """Set every plan's threshold so that the tokens below it come closest to rest."""
+def _fill(sizes: DataFrame, plans: list[_Plan], bits: int, hash_bits: int) -> None:
+    """Give each plan one more rule: as many documents in the order of their hashes as fit into its rest."""
     spark = sizes.sparkSession
-    low = {p.source: 0 for p in plans.values()}
-    below = {p.source: 0 for p in plans.values()}
-    for done in range(0, hash_bits, bits):
-        left = max(0, hash_bits - done - bits)  # bits of the hash below this level
-        wanted = [(p.source, low[p.source], float(p.rest - below[p.source])) for p in plans.values() if not p.done]
-        if not wanted:
+    low, below, open_ = {p.source: p.start for p in plans}, {p.source: 0 for p in plans}, {p.source: p for p in plans}
+    for level in range(-(-hash_bits // bits)):
+        if not open_:
             return
-        at = spark.createDataFrame(wanted, "source string, _low bigint, _rest double")
-        part = F.shiftright("hash", left + bits if left or done else bits) == F.shiftright("_low", left + bits if left or done else bits)
-        inside = sizes.join(F.broadcast(at), "source").where(part) if done else sizes.join(F.broadcast(at), "source")
-        bucket = F.shiftright("hash", left)
-        hist = inside.groupBy("source", "_rest", bucket.alias("bucket")).agg(F.sum("tokens").alias("t"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+        left = max(0, hash_bits - (level + 1) * bits)  # bits of the hash below this level
+        above = min(hash_bits, left + bits)
+        at = spark.createDataFrame([(s, low[s], p.rest - below[s], p.start, int(p.rest)) for s, p in open_.items()], "source string, _low bigint, _rest double, _start bigint, _most bigint")
+        inside = sizes.join(F.broadcast(at), "source").where((F.col("hash") >= F.col("_start")) & (F.col("tokens") <= F.col("_most")))
+        if level:
+            inside = inside.where(F.shiftright("hash", above) == F.shiftright("_low", above))
+        hist = inside.groupBy("source", "_rest", F.shiftright("hash", left).alias("bucket")).agg(F.sum("tokens").alias("t"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
         running = F.sum("t").over(Window.partitionBy("source").orderBy("bucket"))  # at most 2 ** bits rows a source
         edge = hist.withColumn("upto", running).where(F.col("upto") > F.col("_rest")).groupBy("source").agg(F.min_by(F.struct("bucket", "t", "lo", "hi", "upto"), "bucket").alias("e"))
         found = {r.source: r.e for r in edge.collect()}
-        for p in plans.values():
-            if p.done:
-                continue
-            e = found.get(p.source)
-            if e is None:  # the whole of it fits, up to rounding
-                p.threshold, p.done = low[p.source] + (1 << (hash_bits - done)), True
-                continue
-            before = below[p.source] + e.upto - e.t
-            if e.lo == e.hi or left == 0:
-                nearer = before + e.t - p.rest < p.rest - before
-                p.threshold, p.done = e.lo + (1 if nearer else 0), True
+        for s, p in list(open_.items()):
+            e = found.get(s)
+            if e is None:  # all that may be taken fits
+                p.rules.append((p.start, 1 << hash_bits, int(p.rest)))
+                p.rest = 0.0
+                del open_[s]
+            elif e.lo == e.hi or not left:
+                most, taken = int(p.rest), below[s] + e.upto - e.t
+                p.rules.append((p.start, e.lo, most))
+                p.rest, p.start = p.rest - taken, e.lo + 1
+                del open_[s]
             else:
-                below[p.source], low[p.source] = before, e.bucket << left
+                below[s], low[s] = below[s] + e.upto - e.t, e.bucket << left
 
 
 def mix_sources(
@@ -79,9 +80,8 @@ def mix_sources(
     total is the size of the mixture in tokens; by default the largest for which each source that has tokens can give its
     share. With a larger total, a source gives max_repeat copies of everything and is short. Sources without a token are
     short; the others divide their weight in proportion, so that they keep their shares among each other. Which documents
-    of a source get one copy more follows from a hash of id and text; the last one is taken if that brings the source
-    nearer to its budget, so a source misses its budget by half a document at most (by more where rows are repeated:
-    equal rows are used alike). Documents with a NULL or unnamed source take no part; sources are compared exactly.
+    of a source get one copy more follows from a hash of id and text. A source never exceeds its budget; it misses it by
+    less than the smallest documents left in reach after FILLS rounds (equal rows are used alike). Documents with a NULL or unnamed source take no part; sources are compared exactly.
     NULL and empty texts have 0 tokens and are never used for size, but belong to the set like any other. NULL, zero and
     negative weights or max_repeats give a source nothing. Rows of targets with NULL or repeated sources count once, as
     the largest. Empty tables give empty documents and shares of 0. Further columns are ignored.
@@ -110,13 +110,13 @@ def mix_sources(
         budget = min(p.share * size, p.repeat * p.size) if p.share else 0
         p.full = int(budget // p.size) if p.share else 0
         p.rest = budget - p.full * p.size if p.share else 0
-        if p.rest < 0.5:
-            p.done = True
-    _refine(sizes, plans, level_bits, HASH_BITS)
-    wanted = spark.createDataFrame([(p.source, p.full, p.threshold) for p in plans.values() if p.share], "source string, _full int, _threshold bigint")
+    for _ in range(FILLS):
+        _fill(sizes, [p for p in plans.values() if p.rest >= 1], level_bits, HASH_BITS)
+    wanted = spark.createDataFrame([(p.source, p.full, p.rules) for p in plans.values() if p.share], "source string, _full int, _rules array<struct<low: bigint, high: bigint, most: bigint>>")
+    more = F.exists("_rules", lambda r: (F.col("hash") >= r.low) & (F.col("hash") < r.high) & (F.col("tokens") <= r.most))
     used = (
         sizes.join(F.broadcast(wanted), "source")
-        .withColumn("copies", F.col("_full") + F.when(F.col("hash") < F.col("_threshold"), 1).otherwise(0))
+        .withColumn("copies", F.col("_full") + F.when(more, 1).otherwise(0))
         .where(F.col("copies") > 0)
         .select(F.col("_id").alias(id_col), "source", "tokens", F.col("copies").cast("int").alias("copies"))
     )
