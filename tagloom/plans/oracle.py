@@ -1,3 +1,17 @@
 """SQL that gives the same rows as the core's queries, where SQL can."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+_NEAR = """with n as (select distinct idx, lat / 1e7 as lat, lon / 1e7 as lon from node where lat is not null and lon is not null),
+c as (select *, cast(floor(lat / 0.0005) as bigint) as y from n),
+p as (select a.idx as ia, b.idx as ib, a.lat as lat1, a.lon as lon1, b.lat as lat2, b.lon as lon2
+  from c a join (select c.*, y + d as yy from c, (values (-1), (0), (1)) v(d)) b on a.y = b.yy
+  and (abs(a.lon - b.lon) * cos(radians(a.lat)) < 0.0005 or abs(a.lon - b.lon) > 359) and a.idx < b.idx),
+m as (select ia, ib, 2 * 6372797.560856e0 * asin(least(1e0, sqrt(power(sin(radians(lat2 - lat1) / 2), 2)
+  + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon1) / 2), 2)))) as metres from p)
+select ia as idx_a, ib as idx_b, round(min(metres), 3) as metres from m where metres <= 25 group by ia, ib"""
+
+SQL: dict[str, str] = {
+    "p7_near": _NEAR,
+    "p7_found": f"select idx_a, idx_b from ({_NEAR})",
+}

@@ -5,5 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tagloom.operators.near import pairs_within
+from tagloom.sources.tables import table
+
+
+def p7_near(spark: SparkSession, folder: str) -> DataFrame:
+    near = pairs_within(table(spark, folder, "node"), 25.0, scale=1e7)
+    return near.select(F.col("id_a").alias("idx_a"), F.col("id_b").alias("idx_b"), F.round("metres", 3).alias("metres"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_near(spark, folder).select("idx_a", "idx_b")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p7_found": p7_found,
+    "p7_near": p7_near,
+}
