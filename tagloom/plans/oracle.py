@@ -11,7 +11,25 @@ m as (select ia, ib, 2 * 6372797.560856e0 * asin(least(1e0, sqrt(power(sin(radia
   + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lon2 - lon1) / 2), 2)))) as metres from p)
 select ia as idx_a, ib as idx_b, round(min(metres), 3) as metres from m where metres <= 25 group by ia, ib"""
 
+_LINKS = """l as (select distinct r.idx as child, m.idx as parent from rel_member m
+  join (select distinct idx, osm_id from rel) r on r.osm_id = m.ref_osm_id where m.mtype = 'relation'),
+down as (select distinct parent as node, parent as root, 0 as depth, cast(parent as varchar) as path from l
+  where parent not in (select child from l)
+  union all select l.child, d.root, d.depth + 1, d.path || '/' || l.child from down d join l on l.parent = d.node)"""
+
+_PATHS = f"""with recursive {_LINKS}
+select node as idx, root as root_idx, cast(depth as bigint) as depth, path from down
+union all select child, -1, -1, null from l where child not in (select node from down)
+union all select distinct idx, idx, 0, cast(idx as varchar) from rel
+where idx not in (select child from l union all select parent from l)"""
+
 SQL: dict[str, str] = {
+    "p5_found": f"select idx, root_idx, depth from ({_PATHS}) where depth <> 0",
+    "p5_paths": _PATHS,
+    "p5_descendants": f"""with recursive {_LINKS},
+      under as (select parent as ancestor, child as descendant, 1 as steps from l where child in (select node from down)
+        union all select u.ancestor, l.child, u.steps + 1 from under u join l on l.parent = u.descendant)
+      select ancestor, descendant, cast(steps as bigint) as steps from under""",
     "p7_near": _NEAR,
     "p7_found": f"select idx_a, idx_b from ({_NEAR})",
 }

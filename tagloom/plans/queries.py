@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.operators.hierarchy import descendants, hierarchy, paths
 from tagloom.operators.near import pairs_within
 from tagloom.sources.tables import table
 
 
+def relation_links(spark: SparkSession, folder: str) -> DataFrame:
+    """(child, parent) positions of relations in relations, by original id."""
+    of = table(spark, folder, "rel").select("idx", "osm_id").distinct()
+    member = table(spark, folder, "rel_member").where("mtype = 'relation'").select(F.col("idx").alias("parent"), F.col("ref_osm_id").alias("osm_id")).distinct()
+    return member.join(of, "osm_id").select(F.col("idx").alias("child"), "parent")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy(relation_links(spark, folder)).select(F.col("node").alias("idx"), F.col("root").alias("root_idx"), "depth")
+
+
+def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Every relation: its root, depth and path; relations that neither have nor are a member are roots of their own."""
+    of = paths(relation_links(spark, folder))
+    every = table(spark, folder, "rel").select(F.col("idx").alias("node")).dropna().distinct()
+    alone = every.join(of.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.array("node").alias("path"))
+    return of.unionByName(alone).select(F.col("node").alias("idx"), F.col("root").alias("root_idx"), "depth", F.array_join("path", "/").alias("path"))
+
+
+def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    return descendants(paths(relation_links(spark, folder)))
+
+
 def p7_near(spark: SparkSession, folder: str) -> DataFrame:
     near = pairs_within(table(spark, folder, "node"), 25.0, scale=1e7)
     return near.select(F.col("id_a").alias("idx_a"), F.col("id_b").alias("idx_b"), F.round("metres", 3).alias("metres"))
@@ -21,6 +45,9 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_paths": p5_paths,
+    "p5_descendants": p5_descendants,
     "p7_found": p7_found,
     "p7_near": p7_near,
 }
