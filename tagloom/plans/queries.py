@@ -9,7 +9,23 @@ from pyspark.sql import functions as F
 
 from tagloom.operators.hierarchy import descendants, hierarchy, paths
 from tagloom.operators.near import pairs_within
-from tagloom.sources.tables import table
+from tagloom.operators.units import COMMON, read_units
+from tagloom.operators.wide import widen
+from tagloom.sources.tables import table, tag_rows
+
+
+def p4_values(spark: SparkSession, folder: str) -> DataFrame:
+    return read_units(table(spark, folder, "node_tag"), table(spark, folder, "source_unit"))[0]
+
+
+def p4_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return read_units(table(spark, folder, "node_tag"), table(spark, folder, "source_unit"))[1]
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Undeclared sources count as recording in the common unit, so what the graph alone suggests is no case here."""
+    common = [f"(k = '{k}' and unit = '{u}')" for k, u in COMMON.items()]
+    return p4_values(spark, folder).where(f"unit is not null and how <> 'estimated' and not ({' or '.join(common)})").select("idx", "pos", "unit")
 
 
 def relation_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,6 +51,20 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return descendants(paths(relation_links(spark, folder)))
 
 
+def p6_wide(spark: SparkSession, folder: str) -> DataFrame:
+    return widen(tag_rows(spark, folder), table(spark, folder, "attr_type"))
+
+
+def p6_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """Only the columns that attr_type names."""
+    return widen(tag_rows(spark, folder), table(spark, folder, "attr_type"), None).drop("other", "issues")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    wide = widen(tag_rows(spark, folder), table(spark, folder, "attr_type"), None)
+    return wide.select("kind", "idx", F.explode(F.array_distinct(F.transform("issues", lambda x: F.struct(x.k.alias("k"), x.issue.alias("issue"))))).alias("i")).select("kind", "idx", "i.k", "i.issue")
+
+
 def p7_near(spark: SparkSession, folder: str) -> DataFrame:
     near = pairs_within(table(spark, folder, "node"), 25.0, scale=1e7)
     return near.select(F.col("id_a").alias("idx_a"), F.col("id_b").alias("idx_b"), F.round("metres", 3).alias("metres"))
@@ -45,9 +75,15 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_values": p4_values,
+    "p4_sources": p4_sources,
     "p5_found": p5_found,
     "p5_paths": p5_paths,
     "p5_descendants": p5_descendants,
+    "p6_found": p6_found,
+    "p6_wide": p6_wide,
+    "p6_typed": p6_typed,
     "p7_found": p7_found,
     "p7_near": p7_near,
 }
