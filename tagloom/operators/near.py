@@ -17,7 +17,9 @@ from tagloom.functions.geo import EARTH_RADIUS_M, haversine
 
 #: A cell of more points than this is refined, into FINE x FINE cells.
 DENSE = 48
-FINE = 12
+FINE = 16
+#: Height of a cell in distances: larger cells mean fewer copies of each point, smaller ones fewer exact tests.
+CELL = 5
 #: Discs are covered a little larger, so that rounding never loses a pair.
 _MARGIN = 1e-6
 
@@ -51,19 +53,23 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
     """
     if not 0 < metres < 100_000:
         raise ValueError("metres must be between 0 and 100,000")
-    step = 2 * metres / EARTH_RADIUS_M
+    step = CELL * metres / EARTH_RADIUS_M
     reach = metres / EARTH_RADIUS_M * (1 + _MARGIN)
-    deg = points.select(F.col(id_col).alias("id"), (F.col(lat_col) / F.lit(float(scale))).alias("lat"), (F.col(lon_col) / F.lit(float(scale))).alias("lon"))
-    base = deg.dropna().distinct()
-    band, cells = _grid(F.col("lat"), F.col("lon"), step)
-    own = base.withColumn("band", band).withColumn("cell", F.least(F.floor(_turn(F.col("lon")) * cells), cells - 1))
+    # positions travel as they are stored, which is often half as wide as degrees
+    base = points.select(F.col(id_col).alias("id"), F.col(lat_col).alias("lat"), F.col(lon_col).alias("lon")).dropna().distinct()
+
+    def deg(column: str) -> Column:
+        return F.col(column) / F.lit(float(scale))
+
+    band, cells = _grid(deg("lat"), deg("lon"), step)
+    own = base.withColumn("band", band).withColumn("cell", F.least(F.floor(_turn(deg("lon")) * cells), cells - 1))
 
     # bands and cells that the disc of a point touches, each pair of cells from one side only
-    phi = F.radians("lat")
+    phi = F.radians(deg("lat"))
     near_pole = F.abs(phi) + reach >= math.pi / 2
     half = F.when(near_pole, 0.5).otherwise(F.asin(F.least(F.lit(1.0), math.sin(reach) / F.cos(phi))) / (2 * math.pi))  # of a turn
     cover = (
-        own.withColumn("half", half).withColumn("turn", _turn(F.col("lon")))
+        own.withColumn("half", half).withColumn("turn", _turn(deg("lon")))
         .withColumn("to", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.floor((phi - reach + math.pi / 2) / step)), F.floor((phi + reach + math.pi / 2) / step))))
         .withColumn("n", _cells_of(F.col("to"), step))
         .withColumn("first", F.floor((F.col("turn") - F.col("half")) * F.col("n")))
@@ -82,7 +88,7 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
     loose = (
         cover.where("crowded is null").drop("crowded").join(there.where("crowded is null").drop("crowded"), "key")
         .where(once)
-        .withColumn("metres", haversine("lat", "lon", "lat2", "lon2")).where(F.col("metres") <= metres)
+        .withColumn("metres", haversine(deg("lat"), deg("lon"), deg("lat2"), deg("lon2"))).where(F.col("metres") <= metres)
     )
 
     # crowded cells: FINE x FINE parts
@@ -90,8 +96,8 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
     n = _cells_of(to, step)
 
     def part(lat: str, lon: str) -> tuple[Column, Column]:
-        up = F.floor(((F.radians(lat) + math.pi / 2) / step - to) * FINE)
-        along = F.floor((_turn(F.col(lon)) * n - at) * FINE)
+        up = F.floor(((F.radians(deg(lat)) + math.pi / 2) / step - to) * FINE)
+        along = F.floor((_turn(deg(lon)) * n - at) * FINE)
         return F.greatest(F.lit(0), F.least(F.lit(FINE - 1), up)), F.greatest(F.lit(0), F.least(F.lit(FINE - 1), along))
 
     up, along = part("lat2", "lon2")
@@ -101,7 +107,7 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
     west = (at + j / FINE) / n * 2 * math.pi
     wide = 2 * math.pi / (n * FINE)
     # distance in longitude from the point to the part's edges, the shorter way round
-    here = _turn(F.col("lon")) * 2 * math.pi
+    here = _turn(deg("lon")) * 2 * math.pi
     mid = F.abs(here - (west + wide / 2))
     mid = F.least(mid, 2 * math.pi - mid)
     least_lon, most_lon = F.greatest(F.lit(0.0), mid - wide / 2), F.least(F.lit(math.pi), mid + wide / 2)
@@ -126,7 +132,7 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
     tight = (
         fine_cover.join(fine_there, ["key", "part"])
         .where(once)
-        .withColumn("metres", haversine("lat", "lon", "lat2", "lon2"))
+        .withColumn("metres", haversine(deg("lat"), deg("lon"), deg("lat2"), deg("lon2")))
         .where(F.col("inside") | (F.col("metres") <= metres))
     )
     cols = [F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b"), "metres"]
