@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.core import lookup_join, materialise
 from tagloom.functions.geo import EARTH_RADIUS_M, haversine
 
 #: A cell of more points than this is refined, into FINE x FINE cells.
@@ -56,7 +57,7 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
     step = CELL * metres / EARTH_RADIUS_M
     reach = metres / EARTH_RADIUS_M * (1 + _MARGIN)
     # positions travel as they are stored, which is often half as wide as degrees
-    base = points.select(F.col(id_col).alias("id"), F.col(lat_col).alias("lat"), F.col(lon_col).alias("lon")).dropna().distinct()
+    base = materialise(points.select(F.col(id_col).alias("id"), F.col(lat_col).alias("lat"), F.col(lon_col).alias("lon")).dropna().distinct(), "points")
 
     def deg(column: str) -> Column:
         return F.col(column) / F.lit(float(scale))
@@ -80,9 +81,10 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
         .select("id", "lat", "lon", (F.col("to") * (1 << 32) + F.col("at")).alias("key"), ((F.col("to") == F.col("band")) & (F.col("at") == F.col("cell"))).alias("same"))
     )
     there = own.select(F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), (F.col("band") * (1 << 32) + F.col("cell")).alias("key"))
-    crowded = there.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > dense).select("key", F.lit(True).alias("crowded"))
-    cover = cover.join(crowded, "key", "left")
-    there = there.join(crowded, "key", "left")
+    # there are few crowded cells, if any: knowing them before the joins leaves one join for most points, which can be split where it is skewed
+    crowded = materialise(there.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > dense).select("key", F.lit(True).alias("crowded")), "crowded")
+    cover = lookup_join(cover, crowded, "key", "left")
+    there = lookup_join(there, crowded, "key", "left")
 
     once = F.when(F.col("same"), F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2"))
     loose = (
