@@ -52,18 +52,38 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again.
-
-    Cuts the lineage: lost executors cost no recomputation beyond the table. The files go when the driver ends.
-    """
+def _write(df: DataFrame, label: str) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _PATHS:
         atexit.register(_remove, spark)
     _PATHS.add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again.
+
+    Cuts the lineage: lost executors cost no recomputation beyond the table. The files go when the driver ends.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, label))
+
+
+class Shelf:
+    """Materialised tables of one schema that are read as one, however many rounds an iteration takes."""
+
+    def __init__(self, label: str):
+        self._label, self._paths = label, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write df; returns it as read again, alone."""
+        self._spark, self._schema = df.sparkSession, df.schema
+        self._paths.append(_write(df, self._label))
+        return self._spark.read.schema(self._schema).parquet(self._paths[-1])
+
+    def read(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(*self._paths)
 
 
 def release(spark: SparkSession) -> None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.core import lookup_join, materialise, ship_package
+from tagloom.core import Shelf, lookup_join, materialise, ship_package
 
 
 #: Links that a worker holds at once.
@@ -68,48 +68,31 @@ def hierarchy(links: DataFrame, child: str = "child", parent: str = "parent") ->
     parts_of = max(edges.sparkSession.sparkContext.defaultParallelism, edges.count() // LOCAL_LINKS + 1)
     # neighbours in id tend to be neighbours in the tree: ranges of ids make the local forests deep
     forest = edges.repartitionByRange(parts_of, "node").mapInArrow(_local_forest, "node bigint, top bigint, steps bigint")
-    done, open_ = _split(materialise(forest, "forest"))
-    parts, left = [done], open_.count()
-    circles = [open_.where("top is null")]
-    open_ = open_.where("top is not null")
-    while left:
-        # tops that hang from another node: known are their own top and steps
-        ups = parts_union([*parts, *circles, open_]).select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("rooted").alias("_rooted"))
-        wanted = open_.select("top").distinct()
-        merged = lookup_join(open_.select("node", "top", "steps"), ups.join(wanted, "top", "left_semi"), "top", "left")
-        climbed = merged.select(
-            "node",
-            F.when(F.col("_steps").isNull(), F.col("top")).otherwise(F.col("_top")).alias("top"),
-            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            F.when(F.col("_steps").isNull(), True).otherwise(F.col("_rooted")).alias("rooted"),
-        )
-        climbed = materialise(climbed, "forest")
-        rooted = climbed.where("rooted")
-        parts.append(rooted)
-        circles.append(climbed.where("not rooted and top is null"))
-        open_ = climbed.where("not rooted and top is not null")
-        now = open_.count()
-        if now == left:
-            break
+    shelf = Shelf("forest")
+    latest, left = shelf.add(_mark_roots(materialise(forest, "local_forest"), edges)), -1
+    while (now := (open_ := latest.where(_OPEN)).count()) not in (0, left):
         left = now
-    found = parts_union(parts).select("node", F.col("top").alias("root"), F.col("steps").alias("depth"))
-    rest = parts_union([*circles, open_]).select("node", F.lit(-1).cast("bigint").alias("root"), F.lit(-1).cast("bigint").alias("depth"))
-    return found.unionByName(rest)
+        known = shelf.read().where(f"not ({_OPEN})").unionByName(open_)
+        # the tops of open nodes hang from other nodes: their own tops and steps, each once
+        ups = materialise(
+            known.join(open_.select(F.col("top").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("rooted").alias("_rooted")), "ups"
+        )
+        climbed = lookup_join(open_.select("node", "top", "steps"), ups, "top")
+        latest = shelf.add(climbed.select("node", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_rooted").alias("rooted")))
+    none = F.lit(-1).cast("bigint")
+    ended = shelf.read().where(f"not ({_OPEN})").unionByName(open_)
+    return ended.select("node", F.when(F.col("rooted"), F.col("top")).otherwise(none).alias("root"), F.when(F.col("rooted"), F.col("steps")).otherwise(none).alias("depth"))
 
 
-def _split(forest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows at a true root, and others: a top is a root if it hangs from no node."""
-    tops = forest.select("top").where("top is not null").distinct()
-    hanging = tops.join(forest.select(F.col("node").alias("top")), "top", "left_semi").withColumn("hangs", F.lit(True))
-    marked = materialise(lookup_join(forest, hanging, "top", "left").select("node", "top", "steps", (F.col("top").isNotNull() & F.col("hangs").isNull()).alias("rooted")), "forest")
-    return marked.where("rooted"), marked.where("not rooted")
+#: A node that is neither known to hang from a root nor from a circle.
+_OPEN = "not rooted and top is not null"
 
 
-def parts_union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _mark_roots(forest: DataFrame, edges: DataFrame) -> DataFrame:
+    """forest with rooted: whether the top hangs from no node."""
+    tops = forest.select(F.col("top").alias("node")).dropna().distinct()
+    hanging = materialise(tops.join(edges.select("node"), "node", "left_semi").select(F.col("node").alias("top"), F.lit(True).alias("hangs")), "hanging")
+    return lookup_join(forest, hanging, "top", "left").select("node", "top", "steps", (F.col("top").isNotNull() & F.col("hangs").isNull()).alias("rooted"))
 
 
 def paths(links: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
@@ -122,21 +105,16 @@ def paths(links: DataFrame, child: str = "child", parent: str = "parent") -> Dat
     edges = materialise(_links(links, child, parent), "edges")
     known = materialise(hierarchy(edges, "node", "parent"), "hierarchy")
     # (node, up, trail): trail runs from below `up` to node
-    index = materialise(
-        edges.join(known.where("depth > 0").select("node", "root", "depth"), "node").select("node", "root", "depth", F.col("parent").alias("up"), F.array("node").alias("trail")), "trails"
-    )
-    finished = []
-    while True:
-        finished.append(index.where("up = root"))
-        open_ = index.where("up <> root")
-        if open_.isEmpty():
-            break
-        ups = parts_union([f.select("node", "up", "trail") for f in finished] + [open_.select("node", "up", "trail")]).select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("trail").alias("_trail"))
-        wanted = open_.select("up").distinct()
-        index = materialise(
-            lookup_join(open_, ups.join(wanted, "up", "left_semi"), "up").select("node", "root", "depth", F.col("_up").alias("up"), F.concat("_trail", "trail").alias("trail")), "trails"
+    shelf = Shelf("trails")
+    started = edges.join(known.where("depth > 0").select("node", "root", "depth"), "node")
+    latest = shelf.add(started.select("node", "root", "depth", F.col("parent").alias("up"), F.array("node").alias("trail")))
+    while not (open_ := latest.where("up <> root")).isEmpty():
+        trails = shelf.read().where("up = root").unionByName(open_)
+        ups = materialise(
+            trails.join(open_.select(F.col("up").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("trail").alias("_trail")), "ups"
         )
-    below = parts_union(finished).select("node", "root", "depth", F.concat(F.array("root"), "trail").alias("path"))
+        latest = shelf.add(lookup_join(open_, ups, "up").select("node", "root", "depth", F.col("_up").alias("up"), F.concat("_trail", "trail").alias("trail")))
+    below = shelf.read().where("up = root").select("node", "root", "depth", F.concat(F.array("root"), "trail").alias("path"))
     circles = known.where("depth < 0").select("node", "root", "depth", F.lit(None).cast("array<bigint>").alias("path"))
     roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
     return below.unionByName(circles).unionByName(roots.select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("depth"), F.array("node").alias("path")))
