@@ -164,7 +164,7 @@ def count_terms(rows: DataFrame, record: tuple[str, ...], fields: tuple[str, ...
     """
     ship_package(rows.sparkSession)
     plain = rows.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(record)], *[F.col(c).cast("string").alias(f"_f{i}") for i, c in enumerate(fields)], *[F.col(c).alias(f"_x{i}") for i, c in enumerate(rows.columns) if c not in (*record, *fields)])
-    some = F.greatest(*[F.col(f"_f{i}").isNotNull() for i in range(len(fields))])
+    some = F.coalesce(*[F.col(f"_f{i}") for i in range(len(fields))]).isNotNull()
     terms = [F.struct(F.lit(f).alias("field"), F.col(f"_f{i}").cast("binary").alias("term")) for i, f in enumerate(fields)]
     terms.append(F.struct(F.lit("").alias("field"), F.when(some, F.lit("").cast("binary")).alias("term")))
     of_records = (
