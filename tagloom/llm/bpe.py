@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tagloom.core import ship_package
+from tagloom.core import ship_package, spread
 
 #: The folder of the public vocabularies, and the pattern that cuts texts into words for them.
 VOCABULARY_FOLDER = "/opt/tokenizers"
@@ -167,7 +167,7 @@ def encode_corpus(
 
     NULL and empty texts give an empty list, never NULL. Every row of docs gives one row: repeated ids and NULL ids stay.
     Texts of any length are encoded whole; texts of only white space have the ids of that white space. An empty table
-    gives an empty table. Further columns of docs are ignored. One narrow pass, no shuffle.
+    gives an empty table. Further columns of docs are ignored. One narrow pass; no shuffle, unless the scan has fewer parts than there are cores.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -187,13 +187,13 @@ def encode_corpus(
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], [id_col, "ids"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def count_tokens(
     docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "tokens", tokenizer: str = "byte_bpe_50k", folder: str = VOCABULARY_FOLDER
 ) -> DataFrame:
-    """The columns keep and the number of ids of text_col (0 for NULL and empty texts), in one narrow pass."""
+    """The columns keep and the number of ids of text_col (0 for NULL and empty texts), in one pass like encode_corpus()."""
     spark = docs.sparkSession
     ship_package(spark)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(tokenizer, folder))
@@ -205,4 +205,4 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64())], [*keep, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(text_col, *keep).mapInArrow(run, f"{fields}, `{name}` bigint")
+    return spread(docs.select(text_col, *keep)).mapInArrow(run, f"{fields}, `{name}` bigint")

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.core import materialise
+from tagloom.core import materialise, spread
 from tagloom.llm.bpe import VOCABULARY_FOLDER, count_tokens
 
 #: Bits of the hash that one histogram resolves, and bits that are used in all.
@@ -95,7 +95,7 @@ def mix_sources(
         raise ValueError(f"more than {MOST_SOURCES} sources in targets")
     plans = {r.source: _Plan(r.source, max(0.0, float(r.weight)), max(0, int(r.max_repeat))) for r in rows}
     names = spark.createDataFrame([(s,) for s in plans], "source string")
-    plain = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"))
+    plain = spread(docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source")))
     plain = plain.withColumn("hash", F.shiftrightunsigned(F.xxhash64("_id", "text"), 64 - HASH_BITS)).join(F.broadcast(names), "source", "left_semi")
     sizes = materialise(count_tokens(plain, "text", ("_id", "source", "hash"), "tokens", tokenizer, folder), "mix_sizes")
     for r in sizes.groupBy("source").agg(F.sum("tokens").alias("t")).collect():

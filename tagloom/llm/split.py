@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.core import ship_package
+from tagloom.core import ship_package, spread
 from tagloom.llm.bpe import VOCABULARY_FOLDER, ByteBpe, loaded, read_vocabulary
 
 #: Natural places of a message, the strongest first. A cut is made where a match ends.
@@ -126,7 +126,7 @@ def split_oversized(
 
     Texts of limit tokens or fewer, NULL and empty texts give no row. Repeated rows are split each. An empty table gives
     an empty result. Further columns are ignored. A text of no more than limit bytes has no more tokens than that and isn't
-    encoded. One narrow pass, no shuffle.
+    encoded. One narrow pass; no shuffle, unless the scan has fewer parts than there are cores.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -150,6 +150,6 @@ def split_oversized(
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return (
-        docs.select(id_col, text_col).where(F.octet_length(text_col) > limit)
+        spread(docs.select(id_col, text_col).where(F.octet_length(text_col) > limit))
         .mapInArrow(run, f"`{id_col}` {kind}, piece int, char_start bigint, char_body bigint, char_end bigint, tokens int, overlap_tokens int, text string")
     )
