@@ -129,6 +129,14 @@ def dense_ids(df: DataFrame, order: list[str], name: str, partitions: int | None
     )
 
 
+def spread(df: DataFrame, times: int = 3) -> DataFrame:
+    """df in more partitions, if a plain scan would give fewer than there are cores: for work that costs far more than a shuffle of its input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan" or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * times)
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """The non-null values of key that hold at least the given share of df's rows: at most 1 / share of them."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

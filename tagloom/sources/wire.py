@@ -83,6 +83,8 @@ def packed_lists(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def sums_within(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Running sums that start anew behind each end."""
     total = np.cumsum(values)
+    if not len(ends):
+        return total
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     before = np.where(starts > 0, total[np.maximum(starts, 1) - 1] if len(total) else 0, 0)
     return total - np.repeat(before, ends - starts)
