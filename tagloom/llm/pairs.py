@@ -124,4 +124,4 @@ def count_pairs(items: DataFrame, record: tuple[str, str] = ("kind", "idx"), ite
     found = lookup_join(found, numbered.select(F.col("_id").alias("_b"), F.col("_item").alias("item_b"), F.col("_n").alias("n_b")), "_b")
     n, ab, a, b = F.lit(total), F.col("n_ab"), F.col("n_a"), F.col("n_b")
     odds = (ab + 0.5) * (n - a - b + ab + 0.5) / ((a - ab + 0.5) * (b - ab + 0.5))
-    return found.select("item_a", "item_b", "n_ab", "n_a", "n_b", n.alias("n"), (ab.cast("double") * n / (a.cast("double") * b)).alias("lift"), odds.alias("odds_ratio"))
+    return found.select("item_a", "item_b", "n_ab", "n_a", "n_b", n.cast("bigint").alias("n"), (ab.cast("double") * n / (a.cast("double") * b)).alias("lift"), odds.alias("odds_ratio"))
