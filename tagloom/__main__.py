@@ -75,7 +75,7 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> int:
     elif args.command == "road-length":
         print(f"{q.road_length_total(m).first().km:.0f} km")
     elif args.command == "debug":
-        data.header.show(vertical=True, truncate=False)
+        data.header_view().show(vertical=True, truncate=False)
         for letter, df, most in (("n", data.nodes, args.num), ("w", data.ways, args.num), ("r", data.relations, min(args.relations, args.relations if args.num is None else args.num))):
             if letter in args.types:
                 for row in (df if most is None else df.where(F.col("idx") < most)).orderBy("idx").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():

@@ -183,6 +183,8 @@ _MAP_SQL = {
       select r.idx, osm_id, coalesce(tags, '') as tags, coalesce(members, '') as members from r left join tx on tx.idx = r.idx left join mx on mx.idx = r.idx where r.idx < 3""",
     "ids_join": "select * from e",
     "id_to_idx": "select osm_id, row_number() over (order by osm_id) - 1 as rank from (select distinct osm_id from n)",
+    "unsorted_ids": """, ro as (select idx, osm_id, row_number() over (order by osm_id, idx) as a, row_number() over (order by idx, osm_id) as b from n)
+      select idx, osm_id from ro where a <> b""",
     "id_block_offsets": "select block, n, cast(coalesce(sum(n) over (order by block rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\" from (select osm_id >> 12 as block, count(distinct osm_id) as n from n group by 1)",
     "bitmap_rank": "select osm_id, row_number() over (order by osm_id) - 1 as rank from (select distinct osm_id from n where osm_id is not null)",
     "tag_dictionary": "select k, v, row_number() over (order by o, idx, pos) - 1 as dict_idx from (select k, v, o, idx, pos from ot qualify row_number() over (partition by k, v order by o, idx, pos) = 1)",

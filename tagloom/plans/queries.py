@@ -146,7 +146,7 @@ def cities(m: MapTables) -> DataFrame:
     """Nodes whose first place is city, with a name and a population that is a plain number (below 2 ** 63)."""
     first = {k: first_tag(m.node_tags, F.col("k") == k).select("idx", F.col("v").alias(k)) for k in ("place", "name", "population")}
     cities_ = first["place"].where("place = 'city'").join(first["name"], "idx").join(first["population"], "idx")
-    return cities_.select("idx", "name", parse_unsigned(F.col("population"), 2**63 - 1).alias("population")).where("name is not null and population is not null")
+    return cities_.select("idx", "name", parse_unsigned(F.col("population"), 2**63 - 1).alias("population")).where("is_valid_utf8(name) and population is not null")
 
 
 def _pubs(m: MapTables) -> DataFrame:
@@ -163,11 +163,12 @@ def _tags_of(m: MapTables) -> DataFrame:
 
 def pub_names(m: MapTables) -> DataFrame:
     names = _tags_of(m).where("k = 'name'").groupBy("kind", "idx").agg(F.min(F.struct("pos", "v")).getField("v").alias("v"))
-    return _pubs(m).join(names, ["kind", "idx"], "left").select("kind", "idx", F.coalesce("v", F.lit("unknown pub name")).alias("name"))
+    shown = F.when(F.col("v").isNull(), "unknown pub name").when(F.is_valid_utf8("v"), F.col("v")).otherwise("broken pub name")
+    return _pubs(m).join(names, ["kind", "idx"], "left").select("kind", "idx", shown.alias("name"))
 
 
 def pub_addresses(m: MapTables) -> DataFrame:
-    return _tags_of(m).where("startswith(k, 'addr:')").join(_pubs(m), ["kind", "idx"], "left_semi").select("kind", "idx", "pos", "k", "v")
+    return _tags_of(m).where("startswith(k, 'addr:') and is_valid_utf8(k) and coalesce(is_valid_utf8(v), true)").join(_pubs(m), ["kind", "idx"], "left_semi").select("kind", "idx", "pos", "k", "v")
 
 
 def way_refs_resolved(m: MapTables) -> DataFrame:
@@ -296,6 +297,13 @@ def id_to_idx(m: MapTables) -> DataFrame:
     return dense_ids(m.nodes.select("osm_id").distinct(), ["osm_id"], "rank").select("osm_id", "rank")
 
 
+def unsorted_ids(m: MapTables) -> DataFrame:
+    """Nodes that ids and positions put in different places; none, if ids rise with positions."""
+    by_id = dense_ids(m.nodes.select("idx", "osm_id"), ["osm_id", "idx"], "by_id")
+    by_idx = dense_ids(m.nodes.select("idx", "osm_id"), ["idx", "osm_id"], "by_idx")
+    return by_id.join(by_idx, ["idx", "osm_id"]).where("by_id <> by_idx").select("idx", "osm_id")
+
+
 BLOCK_BITS = 12
 
 
@@ -378,6 +386,7 @@ MAP_QUERIES: dict[str, Maps] = {
     "debug_relations": debug_relations,
     "ids_join": lambda m: m.entities(),
     "id_to_idx": id_to_idx,
+    "unsorted_ids": unsorted_ids,
     "id_block_offsets": lambda m: dictionary.block_offsets(m.nodes, BLOCK_BITS),
     "bitmap_rank": lambda m: dictionary.bitmap_rank(m.nodes),
     "tag_dictionary": lambda m: dictionary.tag_dictionary(_ordered_tags(m)),

@@ -63,6 +63,11 @@ class MapDataset:
                 df = df.repartitionByRange("idx").sortWithinPartitions("idx")
             df.to(_struct(SCHEMAS[name])).write.mode(mode).parquet(f"{path}/{name}")
 
+    def header_view(self) -> DataFrame:
+        """The header with its box in degrees and the time of replication as a timestamp."""
+        sides = [(F.col(f"bbox_{s}").cast("double") / F.col("coord_scale")).alias(s) for s in ("left", "right", "top", "bottom")]
+        return self.header.select(*sides, "writingprogram", "source", F.timestamp_seconds("replication_timestamp").alias("replication_time"), "replication_sequence_number", "replication_base_url")
+
     def node_tags(self) -> DataFrame:
         return explode_tags(self.nodes)
 
