@@ -28,6 +28,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 #: Before a space with a visible ASCII character behind it a new word always starts, so texts may be cut there and the parts looked up.
 _PART = re.compile(r" (?=[!-~])")
+#: Ids that are handed on at once.
+MOST_IDS = 1_000_000
 CACHED_PARTS, CACHED_PAIRS, LONGEST_CACHED = 400_000, 2_000_000, 64
 
 
@@ -176,15 +178,15 @@ def encode_corpus(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                flat, ends = [], [0]
-                for text in part.column(1).to_pylist():
-                    ids = np.fromiter(chain.from_iterable(bpe.pieces(text)), np.int32) if text else np.empty(0, np.int32)
-                    flat.append(ids)
-                    ends.append(ends[-1] + len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], [id_col, "ids"])
+            start, flat, ends = 0, [], [0]
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                flat.append(np.fromiter(chain.from_iterable(bpe.pieces(text)), np.int32) if text else np.empty(0, np.int32))
+                ends.append(ends[-1] + len(flat[-1]))
+                if i + 1 == batch.num_rows or ends[-1] >= MOST_IDS:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, i + 1 - start), lists], [id_col, "ids"])
+                    start, flat, ends = i + 1, [], [0]
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return spread(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

@@ -20,6 +20,8 @@ from tagloom.core import materialise, ship_package
 BURST_AT = 4096
 #: Terms of a subtree that is not cut further when subtrees are routed to workers.
 ROUTED_TERMS = 50_000
+#: There are at most about so many heavy prefixes on one level of the routing, whatever the number of terms.
+MOST_HEAVY = 20_000
 
 
 class BurstTrie:
@@ -131,12 +133,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def routing(subtrees: DataFrame, most: int = ROUTED_TERMS) -> list[tuple[str, bytes]]:
-    """Sorted (field, prefix) bounds: each opens a subtree of about `most` terms or fewer.
+    """Sorted (field, prefix) bounds: each opens a subtree of about `most` terms or fewer, more only for over 10 ** 9 terms.
 
     Starts from the first byte and bursts only prefixes above `most`, of which there are at most terms / most. So a level
     brings at most 257 rows for each of them to the driver.
     """
     sizes = subtrees.select("field", "prefix", F.size("suffixes").alias("n"))
+    most = max(most, (sizes.agg(F.sum("n").alias("n")).first().n or 0) // MOST_HEAVY)
     bounds: set[tuple[str, bytes]] = set()
     heavy: list[tuple[str, bytes]] | None = None
     depth = 0
