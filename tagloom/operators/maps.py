@@ -22,17 +22,21 @@ class MapTables:
     def _set(self, name: str, *columns: str) -> DataFrame:
         return table(self._spark, self._folder, name).select(*columns).distinct()
 
+    def _entities(self, name: str, *columns: str) -> DataFrame:
+        """One row an idx: rows of an entity differ in load times alone, and grouped by idx they need no shuffle for a join on it."""
+        return table(self._spark, self._folder, name).select(*columns).dropDuplicates(["idx"])
+
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._set("node", "idx", "osm_id", "lat", "lon")
+        return self._entities("node", "idx", "osm_id", "lat", "lon")
 
     @cached_property
     def ways(self) -> DataFrame:
-        return self._set("way", "idx", "osm_id")
+        return self._entities("way", "idx", "osm_id")
 
     @cached_property
     def relations(self) -> DataFrame:
-        return self._set("rel", "idx", "osm_id")
+        return self._entities("rel", "idx", "osm_id")
 
     @cached_property
     def node_tags(self) -> DataFrame:
