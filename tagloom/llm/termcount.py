@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tagloom.core import materialise, ship_package
 
 BURST_AT = 4096
+#: Batches, and bytes of them, whose equal terms are added up before they go into a trie.
+_GROUPED_BATCHES, _GROUPED_BYTES = 16, 32 << 20
 #: Terms of a subtree that is not cut further when subtrees are routed to workers.
 ROUTED_TERMS = 50_000
 #: There are at most about so many heavy prefixes on one level of the routing, whatever the number of terms.
@@ -107,12 +109,20 @@ def _emit(tries: dict[str, BurstTrie]) -> Iterator[pa.RecordBatch]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tries: dict[str, BurstTrie] = {}
-    for batch in batches:
-        grouped = pa.Table.from_batches([batch]).group_by(["field", "term"]).aggregate([("n", "sum"), ("n", "count")])
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> None:
+        grouped = pa.Table.from_batches(held).group_by(["field", "term"]).aggregate([("n", "sum"), ("n", "count")])
+        held.clear()
         for field, term, occurrences, records in zip(*(grouped.column(c).to_pylist() for c in ("field", "term", "n_sum", "n_count")), strict=True):
-            if field not in tries:
-                tries[field] = BurstTrie()
-            tries[field].add(term, occurrences, records)
+            tries.setdefault(field, BurstTrie()).add(term, occurrences, records)
+
+    for batch in batches:
+        held.append(batch)
+        if len(held) >= _GROUPED_BATCHES or sum(b.nbytes for b in held) > _GROUPED_BYTES:
+            flush()
+    if held:
+        flush()
     yield from _emit(tries)
 
 
