@@ -38,8 +38,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or on local masters a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir or what the context was told, or on local masters a new temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -147,11 +147,12 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join left with right, in which key is unique, on key.
 
-    right is broadcast if it has at most BROADCAST_ROWS rows. Else the rows of left under hot keys (at most
-    1 / HOT_SHARE keys) meet a broadcast extract of right, and only the others are shuffled.
+    right is broadcast if it has at most BROADCAST_ROWS rows. Else left is materialised, as it is read several times; its
+    rows under hot keys (at most 1 / HOT_SHARE keys) meet a broadcast extract of right, and only the others are shuffled.
     """
     if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), key, how)
+    left = materialise(left, "left")
     hot = hot_keys(left, key)
     if not hot:
         return left.join(right, key, how)
