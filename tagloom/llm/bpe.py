@@ -104,7 +104,7 @@ class ByteBpe:
                 heappush(heap, m << 32 | j)
         return tuple(x for x in ids if x >= 0)
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def word_ids(self, word: str) -> tuple[int, ...]:
         ids = self._word_ids.get(word)
         if ids is None:
             ids = self.merge(word.encode())
@@ -117,8 +117,8 @@ class ByteBpe:
     def _encode_part(self, part: str) -> tuple[int, ...]:
         words = self._words(part)
         if len(words) == 1:
-            return self._word(words[0])
-        return tuple(chain.from_iterable(map(self._word, words)))
+            return self.word_ids(words[0])
+        return tuple(chain.from_iterable(map(self.word_ids, words)))
 
     def pieces(self, text: str) -> Iterator[tuple[int, ...]]:
         """Ids of text, part by part."""

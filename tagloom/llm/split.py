@@ -25,6 +25,8 @@ BOUNDARIES = (
 )
 #: A word of more tokens may be cut inside, after so many characters.
 _LONG_WORD, _WORD_CHARS = 64, 32
+#: Tokens by which the ends of a stretch may change its number; nearer to the limit it is counted again.
+_EDGE = 64
 
 
 class Splitter:
@@ -35,28 +37,37 @@ class Splitter:
             raise ValueError("limit must exceed overlap by 8 tokens at least")
         self.bpe, self.limit, self.overlap = bpe, limit, overlap
 
-    def _measure(self, text: str) -> None:
+    def _measure(self, text: str) -> int:
+        """Take in the words of a text; gives its number of tokens."""
         bpe = self.bpe
-        starts, tokens, at = [], [], 0
-        for word in bpe.words(text):
-            n = len(bpe._word(word))
+        words = bpe.words(text)
+        counts = list(map(len, map(bpe.word_ids, words)))
+        total = sum(counts)
+        if total <= self.limit:
+            return total
+        starts, tokens, chunks, at = [], [], [], 0
+        for word, n in zip(words, counts, strict=True):
             if n > _LONG_WORD:
                 for i in range(0, len(word), _WORD_CHARS):
                     starts.append(at + i)
                     tokens.append(len(bpe.merge(word[i : i + _WORD_CHARS].encode())))
+                    chunks.append(1)
             else:
                 starts.append(at)
                 tokens.append(n)
+                chunks.append(0)
             at += len(word)
         self.text = text
         self.starts = np.array([*starts, at])
         self.upto = np.concatenate([[0], np.cumsum(tokens)])
+        self.chunks = np.concatenate([[0], np.cumsum(chunks)])
         self.strength = np.zeros(len(starts) + 1, np.int8)
         for strength, pattern in reversed(BOUNDARIES):
             ends = np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
             where = np.searchsorted(self.starts, ends)
             where = where[self.starts[np.minimum(where, len(self.starts) - 1)] == ends]
             self.strength[where] = strength
+        return total
 
     def _bodies(self, i: int, j: int) -> Iterator[tuple[int, int]]:
         """Words i to j as consecutive ranges of at most limit - overlap tokens."""
@@ -65,7 +76,9 @@ class Splitter:
             i, j = stack.pop()
             size = int(self.upto[j] - self.upto[i])
             most = self.limit - self.overlap
-            if j - i == 1 or size <= most and self.bpe.count(self.text[self.starts[i] : self.starts[j]]) <= most:
+            # cut out of the text, a stretch may have a few tokens more or fewer at its ends; parts of a long word need not add up
+            clear = size <= most - _EDGE and self.chunks[i] == self.chunks[j]
+            if j - i == 1 or clear or size <= most and self.bpe.count(self.text[self.starts[i] : self.starts[j]]) <= most:
                 yield i, j
                 continue
             middle = (self.upto[i] + self.upto[j]) / 2
@@ -99,9 +112,8 @@ class Splitter:
 
     def split(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """(overlap start, body start, end, tokens, tokens of the overlap) of each piece, in characters; [] if text fits."""
-        if not text or len(text.encode()) <= self.limit or self.bpe.count(text) <= self.limit:
+        if not text or len(text.encode()) <= self.limit or self._measure(text) <= self.limit:
             return []
-        self._measure(text)
         out: list[tuple[int, int, int, int, int]] = []
         for i, j in self._bodies(0, len(self.starts) - 1):
             body, end = int(self.starts[i]), int(self.starts[j])
