@@ -126,3 +126,40 @@ def descendants(paths_: DataFrame) -> DataFrame:
         paths_.where("depth > 0").select(F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("at", "ancestor"))
         .where("at < depth").select("ancestor", "descendant", (F.col("depth") - F.col("at")).alias("steps"))
     )
+
+
+def circle_descendants(links: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(ancestor, descendant, steps) of the nodes on circles and below them, which have no path and so aren't in descendants().
+
+    steps is the fewest from descendant up to ancestor. On a circle every node is an ancestor of every node; its own, as
+    many steps up as the circle is long. NULLs, repeats, several parents and empty tables as in hierarchy(). Circles are
+    found by jumps of 1, 2, 4, ... steps and cut at their smallest node, which is then a root like any other.
+    """
+    edges = materialise(_links(links, child, parent), "edges")
+    left = materialise(edges.join(hierarchy(edges, "node", "parent").where("depth < 0").select("node"), "node"), "left")
+    # the nodes that jumps end on become fewer until only those on circles are left
+    jumps, reached = left.select("node", F.col("parent").alias("to")), left.count()
+    while (now := (on := materialise(jumps.select(F.col("to").alias("node")).distinct(), "on")).count()) != reached:
+        reached = now
+        jumps = materialise(lookup_join(jumps, jumps.select(F.col("node").alias("to"), F.col("to").alias("_to")), "to").select("node", F.col("_to").alias("to")), "jumps")
+    circle = materialise(left.join(on, "node"), "circle")
+    # the smallest node seen on the way; once a longer way finds no smaller one, it is the circle's
+    seen, changed = circle.select("node", F.col("parent").alias("to"), F.col("node").alias("least")), True
+    while changed:
+        further = lookup_join(seen, seen.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least")), "to")
+        further = materialise(further.select("node", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("fell")), "least")
+        changed, seen = not further.where("fell").isEmpty(), further.select("node", "to", "least")
+    cut = hierarchy(circle.join(seen.where("node <> least").select("node"), "node"), "node", "parent")
+    places = seen.where("node = least").select("node", F.col("node").alias("circle"), F.lit(0).cast("bigint").alias("at")).unionByName(cut.select("node", F.col("root").alias("circle"), F.col("depth").alias("at")))
+    places = materialise(places, "places")
+    lengths = places.groupBy("circle").agg(F.count(F.lit(1)).alias("length"))
+    below = materialise(paths(left.join(on, "node", "left_anti"), "node", "parent").where("depth > 0"), "below")
+    # every node with the node of the circle that it comes to, and the steps up to that
+    come = places.select(F.col("node").alias("descendant"), F.col("node").alias("entry"), F.lit(0).cast("bigint").alias("up")).unionByName(
+        below.select(F.col("node").alias("descendant"), F.col("root").alias("entry"), F.col("depth").alias("up"))
+    )
+    come = lookup_join(come, places.select(F.col("node").alias("entry"), "circle", F.col("at").alias("_at")), "entry")
+    round_ = F.pmod(F.col("_at") - F.col("at"), F.col("length"))
+    steps = F.when(F.col("ancestor") == F.col("descendant"), F.col("length")).otherwise(F.col("up") + round_)
+    around = come.join(lookup_join(places, lengths, "circle").select(F.col("node").alias("ancestor"), "circle", "at", "length"), "circle").select("ancestor", "descendant", steps.alias("steps"))
+    return around.unionByName(descendants(below).join(places.select(F.col("node").alias("ancestor")), "ancestor", "left_anti"))

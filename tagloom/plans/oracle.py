@@ -67,6 +67,10 @@ SQL: dict[str, str] = {
       under as (select parent as ancestor, child as descendant, 1 as steps from l where child in (select node from down)
         union all select u.ancestor, l.child, u.steps + 1 from under u join l on l.parent = u.descendant)
       select ancestor, descendant, cast(steps as bigint) as steps from under""",
+    "p5_circle_descendants": f"""with recursive {_LINKS},
+      up as (select child as descendant, parent as ancestor, 1 as steps, [parent] as trail from l where child not in (select node from down)
+        union all select u.descendant, l.parent, u.steps + 1, list_append(u.trail, l.parent) from up u join l on l.child = u.ancestor where not list_contains(u.trail, l.parent))
+      select ancestor, descendant, cast(steps as bigint) as steps from up""",
     "p7_near": _NEAR,
     "p7_found": f"select idx_a, idx_b from ({_NEAR})",
 }

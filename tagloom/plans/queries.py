@@ -11,7 +11,7 @@ from tagloom.core import dense_ids
 from tagloom.functions.tags import NOT_DRIVABLE, parse_unsigned
 from tagloom.operators import dictionary, geometry
 
-from tagloom.operators.hierarchy import descendants, hierarchy, paths
+from tagloom.operators.hierarchy import circle_descendants, descendants, hierarchy, paths
 from tagloom.operators.maps import COORD_SCALE, MapTables, degrees, first_tag, resolve, resolve_members
 from tagloom.operators.near import pairs_within
 from tagloom.operators.units import COMMON, read_units
@@ -53,9 +53,15 @@ def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Of relations that hang from a root; p5_circle_descendants has the others."""
     return descendants(paths(relation_links(spark, folder)))
 
 
+def p5_circle_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Of relations on circles and below them; no row is in p5_descendants too."""
+    return circle_descendants(relation_links(spark, folder))
+
+
 def p6_wide(spark: SparkSession, folder: str) -> DataFrame:
     return widen(tag_rows(spark, folder), table(spark, folder, "attr_type"))
 
@@ -405,6 +411,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on(f) for
     "p5_found": p5_found,
     "p5_paths": p5_paths,
     "p5_descendants": p5_descendants,
+    "p5_circle_descendants": p5_circle_descendants,
     "p6_found": p6_found,
     "p6_wide": p6_wide,
     "p6_typed": p6_typed,

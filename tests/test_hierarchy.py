@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tagloom.operators.hierarchy import descendants, hierarchy, paths
+from tagloom.operators.hierarchy import circle_descendants, descendants, hierarchy, paths
 
 SCHEMA = "child bigint, parent bigint"
 
@@ -64,3 +64,38 @@ def test_paths_and_descendants(spark):
     assert {r.node: r.path for r in p.collect()} == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 2, 3, 4], 5: [1, 2, 3, 5], 7: None, 8: None, 9: None}
     assert {(r.ancestor, r.descendant, r.steps) for r in descendants(p).collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1), (1, 4, 3), (2, 4, 2), (3, 4, 1), (1, 5, 3), (2, 5, 2), (3, 5, 1)}
     assert paths(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def under_circles(links):
+    parent = {}
+    for c, p in links:
+        parent[c] = min(p, parent.get(c, p))
+    out = set()
+    for c in parent:
+        trail, node = [], c
+        while node in parent and parent[node] not in trail:
+            node = parent[node]
+            trail.append(node)
+        if node in parent:
+            out |= {(a, c, i) for i, a in enumerate(trail, 1)}
+    return out
+
+
+def around(spark, links):
+    rows = [(r.ancestor, r.descendant, r.steps) for r in circle_descendants(spark.createDataFrame(links, SCHEMA)).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_descendants_on_and_below_circles(spark):
+    links = [(2, 1), (3, 2), (8, 9), (9, 8), (7, 9), (6, 7), (5, 6), (20, 20), (21, 20), (32, 31), (31, 30), (30, 34), (34, 33), (33, 32), (40, 33), (41, 40)]
+    found_ = around(spark, links)
+    assert {(9, 7, 1), (8, 7, 2), (7, 6, 1), (7, 5, 2), (6, 5, 1), (9, 8, 1), (8, 8, 2), (20, 20, 1), (20, 21, 1)} <= found_
+    assert found_ == under_circles(links)
+    assert around(spark, []) == around(spark, [(2, 1), (3, 2)]) == set()
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), max_size=30))
+def test_descendants_of_any_links(spark, links):
+    assert around(spark, links) == under_circles(links)
