@@ -50,8 +50,8 @@ def _lists(owner: np.ndarray, entities: int) -> pa.Array:
 class _Chunk:
     """Whole entities, sorted by entity, key, place and value, as one Arrow table."""
 
-    def __init__(self, columns: list[tuple[str, str, str]]):
-        self.columns = columns
+    def __init__(self, columns: list[tuple[str, str, str]], report_keyless: bool):
+        self.columns, self.report_keyless = columns, report_keyless
         self.place = {k: i for i, (k, _, _) in enumerate(columns)}
 
     def widen(self, rows: pa.Table) -> pa.RecordBatch:
@@ -62,6 +62,7 @@ class _Chunk:
         entity = np.cumsum(new) - 1
         n = int(entity[-1]) + 1
         first_rows = np.flatnonzero(new)
+        keyless = [(int(entity[i]), None, "no key", int(v[i])) for i in np.flatnonzero((k < 0) & (v >= 0))] if self.report_keyless else []
         valid = np.flatnonzero((k >= 0) & (v >= 0))
         e, k, v = entity[valid], k[valid], v[valid]
         opens = np.ones(len(e), bool)
@@ -94,7 +95,7 @@ class _Chunk:
             out.append(pa.array(array, _ARROW[kind_], mask=~fits))
         rest = first[of < 0]
         other = pa.MapArray.from_arrays(_lists(e[rest], n), keys.dictionary.take(pa.array(k[rest])), texts.take(pa.array(v[rest]))) if len(rest) else pa.array([[]] * n, pa.map_(pa.string(), pa.string()))
-        issues = sorted(set(issues))
+        issues = sorted(set(issues + keyless), key=lambda x: (x[0], x[1] is not None, x[1] or "", *x[2:]))
         owner = np.array([x[0] for x in issues], np.int64)
         reported = pa.array([{"k": x[1], "issue": x[2], "v": texts[x[3]].as_py()} for x in issues], _ISSUE)
         listed = pa.ListArray.from_arrays(_lists(owner, n), reported)
@@ -124,7 +125,7 @@ def column_names(keys: list[str], taken: set[str]) -> list[str]:
     return out
 
 
-def widen(tags: DataFrame, types: DataFrame, column_share: float | None = COLUMN_SHARE) -> DataFrame:
+def widen(tags: DataFrame, types: DataFrame, column_share: float | None = COLUMN_SHARE, report_keyless: bool = False) -> DataFrame:
     """One row for each (kind, idx) of tags (kind, idx, pos, k, v): kind, idx, a column a key, other, issues.
 
     types (k, col_name, col_type) names typed columns: int (BIGINT), double, boolean, date or text. Further keys that at
@@ -133,7 +134,8 @@ def widen(tags: DataFrame, types: DataFrame, column_share: float | None = COLUMN
 
     A column has the value of the lowest pos (a NULL pos comes last; at equal pos the lowest text). issues is an array of
     (k, issue, v): 'conflict' for each other value of the same key, 'unfit' for a value that doesn't fit its column, which
-    is then NULL. Typed values are read without spaces around them, texts as they are. Rows with a NULL k or v place
+    is then NULL; with report_keyless also (NULL, 'no key', v) for each different value of an entity whose k is NULL, which
+    no column can hold. Typed values are read without spaces around them, texts as they are. Rows with a NULL k or v place
     nothing, but their entity has a row; a NULL idx is an entity of its own; the empty string is a key or value like any.
     Repeated rows count once. An unknown type is text; NULL or repeated keys in types: the first name in order. An empty
     table gives an empty result. Further columns are ignored.
@@ -152,7 +154,7 @@ def widen(tags: DataFrame, types: DataFrame, column_share: float | None = COLUMN
         columns += [(k, c, "text") for k, c in zip(wide, column_names(wide, {"kind", "idx", "other", "issues", *(c[1] for c in columns)}), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, rows = _Chunk(columns), [], 0
+        chunk, held, rows = _Chunk(columns, report_keyless), [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -63,7 +63,7 @@ def p5_circle_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_wide(spark: SparkSession, folder: str) -> DataFrame:
-    return widen(tag_rows(spark, folder), table(spark, folder, "attr_type"))
+    return widen(tag_rows(spark, folder), table(spark, folder, "attr_type"), report_keyless=True)
 
 
 def p6_typed(spark: SparkSession, folder: str) -> DataFrame:

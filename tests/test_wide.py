@@ -3,6 +3,8 @@ import datetime
 import pytest
 
 from tagloom.operators.wide import column_names, fit, widen
+from tagloom.plans.queries import QUERIES
+from tagloom.sources.tables import tag_rows
 
 TAGS, TYPES = "kind string, idx bigint, pos int, k string, v string", "k string, col_name string, col_type string"
 ALL = [("n", "n_int", "int"), ("d", "n_double", "double"), ("b", "n_bool", "boolean"), ("t", "n_date", "date"), ("s", "n_text", "text")]
@@ -77,3 +79,17 @@ def test_many_entities_cross_batches(spark):
 def test_further_columns(spark):
     df = spark.createDataFrame([("node", 1, 0, "n", "1", "x", 2)], TAGS + ", col_name string, c int")
     assert widen(df, spark.createDataFrame(ALL, TYPES), None).first().n_int == 1
+
+
+def test_values_without_a_key_are_reported(spark):
+    tags = [("way", 2, 0, None, "x"), ("way", 2, 5, None, "x"), ("way", 2, 1, None, ""), ("way", 2, 2, "n", "y"), ("way", 2, 3, "n", "1"), ("way", 3, 0, None, None), ("way", None, None, None, "z")]
+    for share in (None, 1.0):
+        df = widen(spark.createDataFrame(tags, TAGS), spark.createDataFrame(ALL, TYPES), share, report_keyless=True)
+        out = {r.idx: {(i.k, i.issue, i.v) for i in r.issues} for r in df.collect()}
+        assert out == {2: {(None, "no key", "x"), (None, "no key", ""), ("n", "unfit", "y"), ("n", "conflict", "1")}, 3: set(), None: {(None, "no key", "z")}}
+
+
+def test_p6_wide_reports_values_without_a_key(spark, sf):
+    wide = QUERIES["p6_wide"](spark, sf)
+    got = {(r.kind, r.idx, i.v) for r in wide.collect() for i in r.issues if i.k is None and i.issue == "no key"}
+    assert got == {(r.kind, r.idx, r.v) for r in tag_rows(spark, sf).where("k is null and v is not null").collect()} != set()
