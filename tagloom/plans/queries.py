@@ -72,8 +72,8 @@ def p6_typed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    wide = widen(tag_rows(spark, folder), table(spark, folder, "attr_type"), None)
-    return wide.select("kind", "idx", F.explode(F.array_distinct(F.transform("issues", lambda x: F.struct(x.k.alias("k"), x.issue.alias("issue"))))).alias("i")).select("kind", "idx", "i.k", "i.issue")
+    issues = F.filter("issues", lambda x: x.k.isNotNull() & x.issue.isin("conflict", "unfit"))
+    return p6_wide(spark, folder).select("kind", "idx", F.explode(F.array_distinct(F.transform(issues, lambda x: F.struct(x.k.alias("k"), x.issue.alias("issue"))))).alias("i")).select("kind", "idx", "i.k", "i.issue")
 
 
 def p7_near(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@ import datetime
 import pytest
 
 from tagloom.operators.wide import column_names, fit, widen
+from tagloom.plans import queries
 from tagloom.plans.queries import QUERIES
 from tagloom.sources.tables import tag_rows
 
@@ -93,3 +94,10 @@ def test_p6_wide_reports_values_without_a_key(spark, sf):
     wide = QUERIES["p6_wide"](spark, sf)
     got = {(r.kind, r.idx, i.v) for r in wide.collect() for i in r.issues if i.k is None and i.issue == "no key"}
     assert got == {(r.kind, r.idx, r.v) for r in tag_rows(spark, sf).where("k is null and v is not null").collect()} != set()
+
+
+def test_p6_found_comes_from_the_whole_wide_table(spark, sf, monkeypatch):
+    made = []
+    monkeypatch.setattr(queries, "widen", lambda *a, **b: made.append(widen(*a, **b)) or made[-1])
+    found, wide = queries.p6_found(spark, sf), queries.p6_wide(spark, sf)
+    assert found.count() and made[0].columns == wide.columns
