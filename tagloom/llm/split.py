@@ -23,7 +23,7 @@ BOUNDARIES = (
     (2, re.compile(r"""[.!?…。！？]["'”’)\]]*(?=\s)|[。！？]""")),  # sentence
     (1, re.compile(r"(?<=\S)(?=[ \t])")),  # word
 )
-#: A word of more tokens may be cut inside, after so many characters.
+#: A word of more tokens may be cut inside, after so many characters; fewer where a piece has no room for them.
 _LONG_WORD, _WORD_CHARS = 64, 32
 #: Tokens by which the ends of a stretch may change its number; nearer to the limit it is counted again.
 _EDGE = 64
@@ -36,6 +36,8 @@ class Splitter:
         if not 0 <= overlap < limit or limit - overlap < 8:
             raise ValueError("limit must exceed overlap by 8 tokens at least")
         self.bpe, self.limit, self.overlap = bpe, limit, overlap
+        # a character has four bytes at most, and a byte is a token at most
+        self.long_word, self.word_chars = min(_LONG_WORD, limit - overlap), min(_WORD_CHARS, (limit - overlap) // 4)
 
     def _measure(self, text: str) -> int:
         """Take in the words of a text; gives its number of tokens."""
@@ -47,10 +49,10 @@ class Splitter:
             return total
         starts, tokens, chunks, at = [], [], [], 0
         for word, n in zip(words, counts, strict=True):
-            if n > _LONG_WORD:
-                for i in range(0, len(word), _WORD_CHARS):
+            if n > self.long_word:
+                for i in range(0, len(word), self.word_chars):
                     starts.append(at + i)
-                    tokens.append(len(bpe.merge(word[i : i + _WORD_CHARS].encode())))
+                    tokens.append(len(bpe.merge(word[i : i + self.word_chars].encode())))
                     chunks.append(1)
             else:
                 starts.append(at)

@@ -72,3 +72,12 @@ def test_exactly_at_the_limit():
     assert Splitter(BPE, 100, 10).split(" a" * 101) != []
     with pytest.raises(ValueError, match="limit"):
         Splitter(BPE, 10, 5)
+
+
+@pytest.mark.parametrize(("limit", "overlap"), [(8, 0), (12, 4), (60, 4), (60, 52), (100, 50), (130, 0)])
+def test_long_words_under_small_limits(limit, overlap):
+    r = random.Random(limit)
+    odd = "".join(chr(r.randint(0x13000, 0x13400)) for _ in range(300))
+    unlike = "".join(r.choices("qxzjvkwQXZJVK", k=400))
+    for text in (odd, unlike, f"a {odd[:12]} b {unlike[:80]} c" * 5, "😀世" * 90, unlike[:90]):
+        check(text, limit, overlap)
