@@ -34,6 +34,11 @@ def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return count_pairs(_items(spark, folder)).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
 
 
+def p2_odds(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of p2_pairs with their odds ratios beside the lift."""
+    return count_pairs(_items(spark, folder)).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("odds_ratio", 6).alias("odds_ratio"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     exact = F.col("n_ab").cast("decimal(38,0)") * F.col("n").cast("decimal(19,0)") >= F.lit(5).cast("decimal(1,0)") * F.col("n_a").cast("decimal(18,0)") * F.col("n_b").cast("decimal(18,0)")
     return count_pairs(_items(spark, folder), min_together=10).where(exact).select("item_a", "item_b")
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_terms": p1_terms,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
+    "p2_odds": p2_odds,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
     "p8_ids": p8_ids,
@@ -113,6 +119,8 @@ SQL: dict[str, str] = {
     "p1_terms": _TERMS,
     "p1_found": f"select field, term, mark from ({_TERMS}) where mark is not null",
     "p2_pairs": f"select item_a, item_b, n_ab, n_a, n_b, n, round(cast(n_ab as double) * n / (cast(n_a as double) * n_b), 6) as lift from ({_PAIRS})",
+    "p2_odds": f"""select item_a, item_b, n_ab, n_a, n_b, n, round(cast(n_ab as double) * n / (cast(n_a as double) * n_b), 6) as lift,
+      round((n_ab + 0.5e0) * (n - n_a - n_b + n_ab + 0.5e0) / ((n_a - n_ab + 0.5e0) * (n_b - n_ab + 0.5e0)), 6) as odds_ratio from ({_PAIRS})""",
     "p2_found": f"select item_a, item_b from ({_PAIRS}) where n_ab >= 10 and n_ab * n >= 5 * n_a * n_b",
     "p3_terms": _HEAVY,
     "p3_found": f"select field, term from ({_HEAVY})",

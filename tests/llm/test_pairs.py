@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 import tagloom.llm.pairs as pairs_module
 from tagloom.llm.pairs import count_pairs
+from tagloom.llm.queries import QUERIES
 
 SCHEMA = "kind string, idx bigint, item string"
 
@@ -68,3 +69,11 @@ def test_runs_over_any_batches(rows, size, run):
     got = {c: n for b in pairs_module._sum_runs(whole.slice(a, size) for a in range(0, len(merged), size)) for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
     want = Counter((a << 32) | b for r in range(4) for a, b in combinations([i for x, i in rows if x == r], 2))
     assert got == want
+
+
+def test_a_query_gives_odds_ratios(spark, sf):
+    rows = QUERIES["p2_odds"](spark, sf).collect()
+    assert rows
+    for r in rows:
+        a, b, ab, n = r.n_a, r.n_b, r.n_ab, r.n
+        assert r.odds_ratio == pytest.approx((ab + 0.5) * (n - a - b + ab + 0.5) / ((a - ab + 0.5) * (b - ab + 0.5)), abs=1e-6)
