@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from tagloom.operators import quantity
+
 _NEAR = """with n as (select distinct idx, lat / 1e7 as lat, lon / 1e7 as lon from node where lat is not null and lon is not null),
 c as (select *, cast(floor(lat / 0.0005) as bigint) as y from n),
 p as (select a.idx as ia, b.idx as ib, a.lat as lat1, a.lon as lon1, b.lat as lat2, b.lon as lon2
@@ -57,7 +61,40 @@ def _unfit() -> str:
     return " or ".join(f"(col_type = '{kind}' and not {fits})" for kind, fits in _FITS.items())
 
 
+_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_NUM = "[+-]?([0-9]{1,3}(,[0-9]{3})+([.][0-9]+)?|[0-9]{1,3}(''[0-9]{3})+|[0-9]{1,3}( [0-9]{3})+|[0-9]+([.,][0-9]+)?)"
+_NAMES = {"population": quantity.PEOPLE_NAMES, "ele": quantity.LENGTH_NAMES, "height": quantity.LENGTH_NAMES, "maxspeed": quantity.SPEED_NAMES}
+
+
+def _named() -> str:
+    """SQL: the unit that text t of key k names beside one number; NULL if it names none."""
+    counted = "((" + "|".join([*quantity.WORDS, "half", "hundred"]) + ")[ -]+)+"
+    cases = []
+    for key in _NAMES:
+        for unit, spelt in _NAMES[key].items():
+            names = "|".join(re.sub(r"([.])", r"[\1]", x).replace("'", "''") for x in sorted(spelt, key=len, reverse=True))
+            names = f"({names})"
+            if key == "population":
+                names = f"{names}([.]* ({'|'.join(quantity.PEOPLE_NAMES['person'])}))?"
+            cases.append(f"when k = '{key}' and regexp_full_match(t, '{_NUM} ?-? ?{names}[.]*|{names}[.]? ?{_NUM}|{counted}{names}[.]*') then '{unit}'")
+    feet, inches = "(ft[.]?|feet|foot|''|′|’)", "(in[.]?|inch|inches|\"|″|”|'''')"
+    cases.append(f"when k in ('ele', 'height') and regexp_full_match(t, '[0-9]+ ?-? ?{feet} ?-? ?[0-9]+([.,][0-9]+)? ?-? ?{inches}') then 'ft'")
+    return f"case {' '.join(cases)} end"
+
+
+_QUANTITIES = f"""with q as (select distinct idx, pos, k, v from node_tag where k in ('population', 'ele', 'height', 'maxspeed') and v is not null),
+q2 as (select idx, pos, k, regexp_replace(trim(lower(regexp_replace(v, '{_SPACE}', ' ', 'g')), ' '),
+  '^((ca|circa|about|approx|approximately|around|etwa|rund|environ|unos|over|some|c)([.] *| +)|[~≈] *)', '') as t from q),
+src as (select idx, arg_min(v, (pos, v)) as source from (select distinct idx, pos, v from node_tag where k = 'source' and v is not null) group by idx),
+named as (select q2.*, source, {_named()} as unit, regexp_full_match(t, '{_NUM} ?-? ?') as bare from q2 left join src on src.idx = q2.idx),
+decl as (select source_name, k, min(unit) as unit from source_unit group by all)"""
+
 SQL: dict[str, str] = {
+    "p4_found": f"""{_QUANTITIES}, r as (select n.idx, n.pos, n.k, coalesce(n.unit, case when bare then d.unit end) as unit from named n left join decl d on d.source_name = source and d.k = n.k)
+      select idx, pos, unit from r where unit is not null and (k, unit) not in (('population', 'person'), ('ele', 'm'), ('height', 'm'), ('maxspeed', 'km/h'))""",
+    # the graph has to find exactly what was declared
+    "p4_withheld": f"""{_QUANTITIES}, c as (select k, source, count(*) as n from named where bare and unit is null and regexp_matches(t, '[1-9]') and not starts_with(t, '-') group by 1, 2)
+      select c.k, source, d.unit as declared, d.unit as estimated from c join decl d on d.source_name = source and d.k = c.k where n >= 20""",
     "p6_typed": f"with {_FIRST} select t.kind, t.idx, {_typed_columns()} from (select distinct kind, idx from t) t left join f on f.kind = t.kind and f.idx = t.idx group by t.kind, t.idx",
     "p6_found": f"""with {_FIRST} select kind, idx, k, 'conflict' as issue from f where n > 1
       union all select kind, idx, f.k, 'unfit' from f join attr_type a on a.k = f.k where {_unfit()}""",

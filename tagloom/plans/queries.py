@@ -14,7 +14,7 @@ from tagloom.operators import dictionary, geometry
 from tagloom.operators.hierarchy import circle_descendants, descendants, hierarchy, paths
 from tagloom.operators.maps import COORD_SCALE, MapTables, degrees, first_tag, resolve, resolve_members
 from tagloom.operators.near import pairs_within
-from tagloom.operators.units import COMMON, read_units
+from tagloom.operators.units import COMMON, LEAST, read_units
 from tagloom.operators.wide import widen
 from tagloom.sources.tables import table, tag_rows
 
@@ -27,8 +27,17 @@ def p4_sources(spark: SparkSession, folder: str) -> DataFrame:
     return read_units(table(spark, folder, "node_tag"), table(spark, folder, "source_unit"))[1]
 
 
+def p4_withheld(spark: SparkSession, folder: str) -> DataFrame:
+    """What the graph finds for the declared sources of 20 values or more, without knowing any declaration."""
+    declared = table(spark, folder, "source_unit")
+    found = read_units(table(spark, folder, "node_tag"), declared.limit(0))[1].drop("declared")
+    known = declared.where("source_name is not null and k is not null").groupBy(F.col("source_name").alias("source"), "k").agg(F.min("unit").alias("declared"))
+    return found.where(f"n >= {LEAST}").join(known, ["k", "source"]).select("k", "source", "declared", "estimated")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Undeclared sources count as recording in the common unit, so what the graph alone suggests is no case here."""
+    """Values in another than the common unit, by the graph. An exact check follows: where no value and no declaration names
+    a unit the problem takes the common one, so that a source's estimate alone is no case (p4_values has it)."""
     common = [f"(k = '{k}' and unit = '{u}')" for k, u in COMMON.items()]
     return p4_values(spark, folder).where(f"unit is not null and how <> 'estimated' and not ({' or '.join(common)})").select("idx", "pos", "unit")
 
@@ -408,6 +417,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on(f) for
     "p4_found": p4_found,
     "p4_values": p4_values,
     "p4_sources": p4_sources,
+    "p4_withheld": p4_withheld,
     "p5_found": p5_found,
     "p5_paths": p5_paths,
     "p5_descendants": p5_descendants,
