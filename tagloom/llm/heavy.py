@@ -20,6 +20,8 @@ from tagloom.core import materialise, ship_package
 #: Sketch size. A value with a share of 1/200 is missed only if in each row the others in its bucket outweigh it: with an even spread they hold 1/1024.
 ROWS, BUCKETS = 5, 1024
 _BUFFER = 100_000
+#: Sketches (2.7 MB a field) that are shuffled, at most, for each core.
+SKETCHES_A_CORE = 4
 #: Odd multipliers of the rows' hash functions.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -104,7 +106,8 @@ def heavy_terms(rows: DataFrame, fields: tuple[str, ...], share: int = 200) -> D
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int32()), pa.array([h for _, h in found], pa.int64())], ["field", "hash"])
 
-    added = hashed.mapInArrow(sketch, "field int, row int, bucket int, counts binary").repartition("field", "row", "bucket")
+    # a sketch for each task: few large tasks rather than one for each part of a scan
+    added = hashed.coalesce(SKETCHES_A_CORE * spark.sparkContext.defaultParallelism).mapInArrow(sketch, "field int, row int, bucket int, counts binary").repartition("field", "row", "bucket")
     # at most ROWS * BUCKETS candidates a field
     candidates = materialise(added.mapInArrow(add_up, "field int, hash bigint").distinct(), "candidates")
     exploded = plain.select(F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"_f{i}").alias("term")) for i in range(len(fields))])).alias("t")).select("t.*").where(F.col("term").isNotNull())

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tagloom.core import dense_ids, lookup_join, materialise, ship_package
 
 RUN_CODES = 1 << 20
+_MOST_ITEMS = 2**31 - 1
 
 
 def _run(codes: list[np.ndarray]) -> pa.RecordBatch:
@@ -62,6 +63,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         kind, idx, ids = (batch.column(i) for i in range(3))
         ids = ids.to_numpy()
+        if ids.max() > _MOST_ITEMS:
+            raise ValueError(f"more than {_MOST_ITEMS} items don't fit into codes of 64 bits")
         key = np.stack([kind.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), idx.fill_null(0).to_numpy(), idx.is_null().to_numpy(zero_copy_only=False).astype(np.int64)])
         new = np.ones(len(ids), bool)
         new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
@@ -107,7 +110,7 @@ def count_pairs(items: DataFrame, record: tuple[str, str] = ("kind", "idx"), ite
     count once and NULL items not at all; the empty string is an item; a NULL record value is a record of its own. n is
     the number of records with an item, lift = n_ab * n / (n_a * n_b), and odds_ratio has 0.5 added to each of the four
     cells. An item in fewer than min_together records can't be in such a pair and is left out of the pairing, not of n.
-    A record without a pair gives none; an empty table gives an empty result. Further columns are ignored.
+    More than 2 ** 31 - 1 items in pairs are an error. A record without a pair gives none; an empty table gives an empty result. Further columns are ignored.
     """
     ship_package(items.sparkSession)
     plain = items.select(F.col(record[0]).alias("_kind"), F.col(record[1]).cast("bigint").alias("_idx"), F.col(item).cast("string").alias("_item")).where(F.col("_item").isNotNull())

@@ -15,15 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.core import materialise, ship_package
+from tagloom.core import is_hot, materialise, ship_package
 
 BURST_AT = 4096
 #: Batches, and bytes of them, whose equal terms are added up before they go into a trie.
-_GROUPED_BATCHES, _GROUPED_BYTES = 16, 32 << 20
+_GROUPED_BATCHES, _GROUPED_BYTES = 64, 32 << 20
+#: Terms, and bytes of them, that a worker holds before it hands on its tries and starts new ones.
+HELD_TERMS, HELD_BYTES = 1_000_000, 256 << 20
 #: Terms of a subtree that is not cut further when subtrees are routed to workers.
 ROUTED_TERMS = 50_000
 #: There are at most about so many heavy prefixes on one level of the routing, whatever the number of terms.
-MOST_HEAVY = 20_000
+MOST_HEAVY = 2_000
+#: Bytes of prefix that one job of the routing looks into.
+_STRIDE = 4
 
 
 class BurstTrie:
@@ -108,62 +112,92 @@ def _emit(tries: dict[str, BurstTrie]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(field, term, n) -> subtrees; hands on what it holds whenever that is much."""
     tries: dict[str, BurstTrie] = {}
     held: list[pa.RecordBatch] = []
+    terms = size = waiting = 0
 
     def flush() -> None:
+        nonlocal terms, size, waiting
         grouped = pa.Table.from_batches(held).group_by(["field", "term"]).aggregate([("n", "sum"), ("n", "count")])
         held.clear()
+        terms, size, waiting = terms + len(grouped), size + grouped.column("term").nbytes, 0
         for field, term, occurrences, records in zip(*(grouped.column(c).to_pylist() for c in ("field", "term", "n_sum", "n_count")), strict=True):
             tries.setdefault(field, BurstTrie()).add(term, occurrences, records)
 
     for batch in batches:
         held.append(batch)
-        if len(held) >= _GROUPED_BATCHES or sum(b.nbytes for b in held) > _GROUPED_BYTES:
+        waiting += batch.nbytes
+        if len(held) >= _GROUPED_BATCHES or waiting > _GROUPED_BYTES:
             flush()
+        if terms >= HELD_TERMS or size >= HELD_BYTES:
+            yield from _emit(tries)
+            tries, terms, size = {}, 0, 0
     if held:
         flush()
     yield from _emit(tries)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tries: dict[str, BurstTrie] = {}
+    """Subtrees sorted by bound -> terms; holds the trie of one bound."""
+    trie, open_ = BurstTrie(), None
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for prefix, container in trie.subtrees():
+            terms = pa.array([prefix + s for s, _ in container], pa.binary())
+            numbers = [pa.array([c[i] for _, c in container], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([open_[0]] * len(container), pa.string()), terms, *numbers], ["field", "term", "occurrences", "records"])
+
     for batch in batches:
-        for field, prefix, suffixes, occurrences, records in zip(*(batch.column(c).to_pylist() for c in ("field", "prefix", "suffixes", "occurrences", "records")), strict=True):
-            trie = tries.setdefault(field, BurstTrie())
+        for bound, field, prefix, suffixes, occurrences, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (field, bound) != open_:
+                yield from counted()
+                trie, open_ = BurstTrie(), (field, bound)
             for suffix, o, r in zip(suffixes, occurrences, records, strict=True):
                 trie.add(prefix + suffix, o, r)
-    for field, trie in tries.items():
-        for prefix, container in trie.subtrees():
-            terms = pa.array([prefix + s for s, _ in container], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([field] * len(container), pa.string()), terms, pa.array([c[0] for _, c in container], pa.int64()), pa.array([c[1] for _, c in container], pa.int64())],
-                ["field", "term", "occurrences", "records"],
-            )
+    yield from counted()
 
 
 def routing(subtrees: DataFrame, most: int = ROUTED_TERMS) -> list[tuple[str, bytes]]:
-    """Sorted (field, prefix) bounds: each opens a subtree of about `most` terms or fewer, more only for over 10 ** 9 terms.
+    """Sorted (field, prefix) bounds: each opens a subtree of about `most` terms or fewer, more only for over 10 ** 8 terms.
 
-    Starts from the first byte and bursts only prefixes above `most`, of which there are at most terms / most. So a level
-    brings at most 257 rows for each of them to the driver.
+    Starts from the first byte and bursts only prefixes above `most`, of which there are at most terms / most; one job for
+    _STRIDE bytes. To the driver go the children of heavy prefixes; neighbours that are small together share a bound.
     """
     sizes = subtrees.select("field", "prefix", F.size("suffixes").alias("n"))
     most = max(most, (sizes.agg(F.sum("n").alias("n")).first().n or 0) // MOST_HEAVY)
-    bounds: set[tuple[str, bytes]] = set()
-    heavy: list[tuple[str, bytes]] | None = None
+    leaves: dict[tuple[str, bytes], int] = {}
+    heavy: list[tuple[str, bytes]] = []
     depth = 0
-    while heavy is None or heavy:
-        depth += 1
-        cut = F.substring("prefix", 1, depth)
+    while depth == 0 or heavy:
         at = sizes
-        if heavy is not None:
+        if depth:
             wanted = subtrees.sparkSession.createDataFrame(heavy, "field string, _from binary")
-            at = sizes.withColumn("_from", F.substring("prefix", 1, depth - 1)).join(F.broadcast(wanted), ["field", "_from"])
-        rows = at.groupBy("field", cut.alias("p")).agg(F.sum("n").alias("n")).collect()
-        bounds.update((r.field, bytes(r.p)) for r in rows)
-        heavy = [(r.field, bytes(r.p)) for r in rows if r.n > most and len(r.p) == depth]
-    return sorted(bounds)
+            at = sizes.withColumn("_from", F.substring("prefix", 1, depth)).join(F.broadcast(wanted), ["field", "_from"])
+        longest = at.groupBy("field", F.substring("prefix", 1, depth + _STRIDE).alias("p")).agg(F.sum("n").alias("n"))
+        lengths = F.explode(F.sequence(F.lit(depth + 1), F.greatest(F.lit(depth + 1), F.length("p"))))
+        every = longest.withColumn("d", lengths).groupBy("field", "d", F.expr("substring(p, 1, d)").alias("p")).agg(F.sum("n").alias("n"))
+        above = every.where(F.col("n") > most).select("field", F.col("p").alias("_up"))
+        first = every.where(f"d = {depth + 1}")
+        later = every.where(f"d > {depth + 1}").withColumn("_up", F.expr("substring(p, 1, d - 1)")).join(above, ["field", "_up"], "left_semi")
+        rows = first.select("field", "d", "p", "n").unionByName(later.select("field", "d", "p", "n")).collect()
+        heavy = []
+        for r in sorted(rows, key=lambda r: r.d):
+            leaves[r.field, bytes(r.p)] = r.n
+            if r.n > most and len(r.p) == r.d:
+                if r.d == depth + _STRIDE:
+                    heavy.append((r.field, bytes(r.p)))
+                else:
+                    leaves[r.field, bytes(r.p)] = 0  # what ends here is counted with its first child
+        depth += _STRIDE
+    bounds: list[tuple[str, bytes]] = []
+    held = 0
+    for (field, prefix), n in sorted(leaves.items()):
+        if not bounds or bounds[-1][0] != field or held + n > most:
+            bounds.append((field, prefix))
+            held = 0
+        held += n
+    return bounds
 
 
 def count_terms(rows: DataFrame, record: tuple[str, ...], fields: tuple[str, ...], most: int = ROUTED_TERMS) -> DataFrame:
@@ -178,20 +212,25 @@ def count_terms(rows: DataFrame, record: tuple[str, ...], fields: tuple[str, ...
     ship_package(rows.sparkSession)
     plain = rows.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(record)], *[F.col(c).cast("string").alias(f"_f{i}") for i, c in enumerate(fields)], *[F.col(c).alias(f"_x{i}") for i, c in enumerate(rows.columns) if c not in (*record, *fields)])
     some = F.coalesce(*[F.col(f"_f{i}") for i in range(len(fields))]).isNotNull()
+    keys = [f"_r{i}" for i in range(len(record))]
     terms = [F.struct(F.lit(f).alias("field"), F.col(f"_f{i}").cast("binary").alias("term")) for i, f in enumerate(fields)]
-    terms.append(F.struct(F.lit("").alias("field"), F.when(some, F.lit("").cast("binary")).alias("term")))
-    of_records = (
-        plain.distinct()
-        .select(*[f"_r{i}" for i in range(len(record))], F.explode(F.array(*terms)).alias("t"))
-        .select(*[f"_r{i}" for i in range(len(record))], "t.field", "t.term")
-        .where(F.col("term").isNotNull())
-        .groupBy(*[f"_r{i}" for i in range(len(record))], "field", "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    subtrees = materialise(of_records.select("field", "term", "n").mapInArrow(_count, _SUBTREES), "subtrees")
+    terms = F.array(*terms, F.struct(F.lit("").alias("field"), F.when(some, F.lit("").cast("binary")).alias("term")))
+
+    def of_records(part: DataFrame) -> DataFrame:
+        exploded = part.distinct().select(*keys, F.explode(terms).alias("t")).select(*keys, "t.field", "t.term").where(F.col("term").isNotNull())
+        return exploded.groupBy(*keys, "field", "term").agg(F.count(F.lit(1)).alias("n")).select("field", "term", "n")
+
+    # one exchange by record serves both the set of rows and the terms of a record; records that hold a large share of the rows are spread
+    hot = is_hot(keys, plain)
+    counted = of_records((plain if hot is None else plain.where(~hot)).repartition(*keys))
+    if hot is not None:
+        counted = counted.unionByName(of_records(plain.where(hot)))
+    subtrees = materialise(counted.mapInArrow(_count, _SUBTREES), "subtrees")
     bounds = routing(subtrees, most)
+    shared = rows.sparkSession.sparkContext.broadcast(bounds)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = shared.value
         for batch in batches:
             routed: dict[int, list[tuple]] = {}
             for field, prefix, suffixes, occurrences, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -210,8 +249,8 @@ def count_terms(rows: DataFrame, record: tuple[str, ...], fields: tuple[str, ...
                 out = _arrow(rows_)
                 yield pa.RecordBatch.from_arrays([pa.array([to] * out.num_rows, pa.int32()), *out.columns], ["bound", *out.schema.names])
 
-    merged = subtrees.mapInArrow(route, "bound int, " + _SUBTREES).repartition("bound")
-    return merged.drop("bound").mapInArrow(_merge, "field string, term string, occurrences bigint, records bigint")
+    merged = subtrees.mapInArrow(route, "bound int, " + _SUBTREES).repartition("bound").sortWithinPartitions("bound")
+    return merged.mapInArrow(_merge, "field string, term binary, occurrences bigint, records bigint").withColumn("term", F.col("term").cast("string"))
 
 
 def mark_terms(counts: DataFrame, rare: int = 2, common: int = 20) -> DataFrame:

@@ -61,3 +61,12 @@ def test_further_columns(spark):
     df = spark.createDataFrame([(1, "x", "a", 5, 6)], DOCS + ", hash int, tokens int")
     targets = spark.createDataFrame([("a", 1.0, 1, "q")], TARGETS + ", tokens string")
     assert mix_sources(df, targets)[0].count() == 1
+
+
+def test_large_documents_on_the_threshold(spark):
+    """A source of few documents, one of them larger than what is left, still gets its share by further copies."""
+    docs = [(i, "word " * 10, "small") for i in range(20)] + [(100, "word " * 700, "small")] + [(200 + i, "word " * 20, "big") for i in range(400)]
+    _, shares = run(spark, docs, [("big", 0.9, 1), ("small", 0.1, 8)])
+    assert shares["small"].share == pytest.approx(0.1, rel=0.02) and not shares["small"].short and shares["small"].most_copies > 1
+    _, shares = run(spark, [(1, "word " * 100, "a"), (2, "word " * 150, "b")], [("a", 0.5, 1), ("b", 0.5, 1)])
+    assert shares["a"].tokens > 95 and shares["b"].tokens > 95 and shares["b"].short and not shares["a"].short

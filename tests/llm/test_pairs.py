@@ -77,3 +77,12 @@ def test_a_query_gives_odds_ratios(spark, sf):
     for r in rows:
         a, b, ab, n = r.n_a, r.n_b, r.n_ab, r.n
         assert r.odds_ratio == pytest.approx((ab + 0.5) * (n - a - b + ab + 0.5) / ((a - ab + 0.5) * (b - ab + 0.5)), abs=1e-6)
+
+
+def test_too_many_items_are_an_error():
+    import pyarrow as pa
+    from tagloom.llm.pairs import _runs
+
+    columns = [pa.array([1, 1]), pa.array([5, 5]), pa.array([3, 2**31])]
+    with pytest.raises(ValueError, match="items"):
+        list(_runs(iter([pa.RecordBatch.from_arrays(columns, ["kind", "idx", "id"])])))

@@ -74,3 +74,13 @@ def test_marks(spark):
 def test_further_columns_make_rows_differ(spark):
     df = spark.createDataFrame([("node", 1, 0, "a", "b", 1, "x"), ("node", 1, 0, "a", "b", 2, "x")], SCHEMA + ", term int, field string")
     assert {(r.field, r.term): r.occurrences for r in count_terms(df, ("kind", "idx"), ("k",)).collect() if r.field} == {("k", "a"): 2}
+
+
+def test_texts_that_are_no_utf8_and_flushed_tries(spark, monkeypatch):
+    df = spark.sql("select 'node' as kind, id as idx, 0 as pos, cast(X'FF41' as string) as k, concat('v', id % 3) as v from range(200)")
+    assert {(r.field, r.occurrences) for r in count_terms(df, ("kind", "idx"), ("k", "v")).collect()} == {("k", 200), ("v", 67), ("v", 66), ("", 200)}
+    from tagloom.llm import termcount
+
+    monkeypatch.setattr(termcount, "HELD_TERMS", 5)
+    monkeypatch.setattr(termcount, "_GROUPED_BATCHES", 1)
+    assert found(spark, _rows(), most=40) == brute(_rows())
