@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast after they were counted.
@@ -137,11 +137,24 @@ def spread(df: DataFrame, times: int = 3) -> DataFrame:
     return df.repartition(cores * times)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """The non-null values of key that hold at least the given share of df's rows: at most 1 / share of them."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.count()
-    return [r[0] for r in counts.where(F.col("_n") >= max(2, int(total * share))).select(key).collect()]
+#: Values that the search for hot keys tracks at once: it can't miss one of HOT_SHARE of the rows.
+_TRACKED = 8192
+
+
+def hot_keys(df: DataFrame, key: Column | str, share: float = HOT_SHARE) -> list:
+    """The non-null values of key that hold at least the given share of df's rows: at most about 1 / share of them.
+
+    One pass and a sketch for each task, no shuffle of keys; a value a little below the share may be given too.
+    """
+    found = df.select((F.col(key) if isinstance(key, str) else key).alias("_key")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_key, {int(2 / share)}, {_TRACKED})").alias("top")).first()
+    return [r["item"] for r in found.top if r["item"] is not None and r["count"] >= max(2, found.n * share)]
+
+
+def is_hot(columns: list[str], rows: DataFrame) -> Column | None:
+    """A condition that picks the rows of rows whose columns together hold at least HOT_SHARE of all; None if there are none."""
+    key = F.xxhash64(*columns)
+    hot = hot_keys(rows, key)
+    return key.isin(hot) if hot else None
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
