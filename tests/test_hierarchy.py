@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tagloom.operators.hierarchy import circle_descendants, descendants, hierarchy, paths
+from tagloom.operators.hierarchy import circle_descendants, descendants, hierarchy, paths, unfollowed
 
 SCHEMA = "child bigint, parent bigint"
 
@@ -24,7 +24,11 @@ def brute(links):
 
 
 def found(spark, links):
-    return {r.node: (r.root, r.depth) for r in hierarchy(spark.createDataFrame(links, SCHEMA)).collect()}
+    """By rounds of several forests; one forest has to give the same."""
+    df = spark.createDataFrame(links, SCHEMA)
+    many, one = ({r.node: (r.root, r.depth) for r in hierarchy(df, local_links=n).collect()} for n in (7, 500_000))
+    assert many == one
+    return many
 
 
 def test_deep_wide_and_circles(spark):
@@ -99,3 +103,15 @@ def test_descendants_on_and_below_circles(spark):
 @given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), max_size=30))
 def test_descendants_of_any_links(spark, links):
     assert around(spark, links) == under_circles(links)
+
+
+def test_paths_by_rounds_and_by_one_worker(spark):
+    links = [(i, i + 1) for i in range(1, 40)] + [(100 + i, 20) for i in range(30)] + [(200, 201), (201, 200), (202, 201), (None, 1), (3, None)]
+    df = spark.createDataFrame(links, SCHEMA)
+    many, one = ({r.node: (r.root, r.depth, r.path) for r in paths(df, local_links=n).collect()} for n in (9, 500_000))
+    assert many == one and one[1] == (40, 39, list(range(40, 0, -1))) and one[202] == (-1, -1, None) and one[40] == (40, 0, [40])
+
+
+def test_links_to_second_parents_are_reported(spark):
+    links = [(1, 5), (1, 5), (1, 7), (1, 6), (2, 5), (3, None), (None, 3)]
+    assert {tuple(r) for r in unfollowed(spark.createDataFrame(links, SCHEMA)).collect()} == {(1, 6), (1, 7)}
