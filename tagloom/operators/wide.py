@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.core import ship_package
+from tagloom.core import is_hot, ship_package
 
-#: A key outside the types gets a column of its own if this share of the entities has it; so there are a bounded number of columns.
+#: A key outside the types gets a column of its own if it has as many rows as this share of the entities.
 COLUMN_SHARE = 1 / 1000
-MOST_TYPES = 2000
+MOST_TYPES, MOST_COLUMNS = 2000, 5000
 _CHUNK = 100_000
 _INT, _DOUBLE, _DATE = re.compile(r"[+-]?[0-9]{1,18}"), re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?"), re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 #: Texts of a boolean, in lower case.
@@ -128,9 +128,10 @@ def column_names(keys: list[str], taken: set[str]) -> list[str]:
 def widen(tags: DataFrame, types: DataFrame, column_share: float | None = COLUMN_SHARE, report_keyless: bool = False) -> DataFrame:
     """One row for each (kind, idx) of tags (kind, idx, pos, k, v): kind, idx, a column a key, other, issues.
 
-    types (k, col_name, col_type) names typed columns: int (BIGINT), double, boolean, date or text. Further keys that at
-    least column_share of the entities hold get text columns (k_...); all others stand in the map `other`, so nothing is
-    lost however many keys there are. column_share None gives only the columns of types.
+    types (k, col_name, col_type) names typed columns: int (BIGINT), double, boolean, date or text. Further keys
+    with at least column_share as many rows as there are entities (about 2 % more or less, as these are estimated) get text
+    columns (k_...); all others stand in the map `other`, so nothing is lost however many keys there are. column_share 0
+    gives every key a column, an error beyond MOST_COLUMNS; None gives only the columns of types.
 
     A column has the value of the lowest pos (a NULL pos comes last; at equal pos the lowest text). issues is an array of
     (k, issue, v): 'conflict' for each other value of the same key, 'unfit' for a value that doesn't fit its column, which
@@ -141,16 +142,20 @@ def widen(tags: DataFrame, types: DataFrame, column_share: float | None = COLUMN
     table gives an empty result. Further columns are ignored.
     """
     ship_package(tags.sparkSession)
-    plain = tags.select("kind", F.col("idx").cast("bigint").alias("idx"), F.col("pos").cast("bigint").alias("pos"), "k", "v").distinct()
+    plain = tags.select("kind", F.col("idx").cast("bigint").alias("idx"), F.col("pos").cast("bigint").alias("pos"), "k", "v")
     named = types.where("k is not null and col_name is not null").groupBy("k").agg(F.min(F.struct("col_name", "col_type")).alias("c")).limit(MOST_TYPES + 1).collect()
     if len(named) > MOST_TYPES:
         raise ValueError(f"more than {MOST_TYPES} typed keys")
     columns = [(r.k, r.c.col_name, r.c.col_type if r.c.col_type in _SPARK else "text") for r in sorted(named, key=lambda r: r.k)]
-    if column_share:
-        total = tags.select("kind", "idx").distinct().count()
-        counts = tags.where("k is not null and v is not null").select("kind", "idx", "k").distinct().groupBy("k").count()
+    if column_share is not None:
+        # counts without a shuffle of rows: layout alone hangs on them
+        total = tags.agg(F.approx_count_distinct(F.xxhash64("kind", "idx"), 0.02).alias("n")).first().n
+        counts = tags.where("k is not null and v is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1.0, total * column_share))
         known = {c[0] for c in columns}
-        wide = sorted(r.k for r in counts.where(F.col("count") >= max(1.0, total * column_share)).collect() if r.k not in known)
+        wide = sorted(r.k for r in counts.select("k").limit(MOST_COLUMNS + 1).collect())
+        if len(wide) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} keys would get a column; a larger column_share leaves the rarer ones in the map")
+        wide = [k for k in wide if k not in known]
         columns += [(k, c, "text") for k, c in zip(wide, column_names(wide, {"kind", "idx", "other", "issues", *(c[1] for c in columns)}), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,5 +178,8 @@ def widen(tags: DataFrame, types: DataFrame, column_share: float | None = COLUMN
             yield chunk.widen(pa.Table.from_batches(held).combine_chunks())
 
     schema = "kind string, idx bigint, " + "".join(f"`{c.replace('`', '``')}` {_SPARK[t]}, " for _, c, t in columns) + "other map<string,string>, issues array<struct<k: string, issue: string, v: string>>"
-    ordered = plain.repartition("kind", "idx").sortWithinPartitions("kind", "idx", "k", F.col("pos").asc_nulls_last(), "v")
+    # one exchange by entity serves both the set of rows and their order; repeats within an entity of many rows go before it
+    hot = is_hot(["kind", "idx"], plain)
+    once = plain if hot is None else plain.where(~hot).unionByName(plain.where(hot).distinct())
+    ordered = once.repartition("kind", "idx").distinct().sortWithinPartitions("kind", "idx", "k", F.col("pos").asc_nulls_last(), "v")
     return ordered.select("kind", "idx", "k", "v").mapInArrow(run, schema)
