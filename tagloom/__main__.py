@@ -65,7 +65,7 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> int:
         for df in (data.nodes, data.ways, data.relations):
             df.write.format("noop").mode("overwrite").save()
     elif args.command == "cities":
-        rows = q.cities(m).orderBy("idx").select(F.to_json(F.struct("name", "population")).alias("j")).toLocalIterator()
+        rows = q.cities(m, 2**64 - 1).orderBy("idx").select(F.to_json(F.struct("name", "population")).alias("j")).toLocalIterator()
         print("[" + ",".join(r.j for r in rows) + "]")
     elif args.command == "pub-names":
         addresses = q.pub_addresses(m).groupBy("kind", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k", "v"))), lambda x: F.concat(F.lit("\n  "), x.k, F.lit(": "), x.v)).alias("a"))

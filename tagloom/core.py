@@ -7,12 +7,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a table that may be broadcast after they were counted.
-BROADCAST_ROWS = 200_000
+#: Rows of a table that may be broadcast after they were counted, and their bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: A key is hot from this share of the rows on; so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 64
 
@@ -56,16 +59,21 @@ def _write(df: DataFrame, label: str) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    keep(spark, path)
+    return path
+
+
+def keep(spark: SparkSession, path: str) -> None:
+    """Note a folder in the shared one, to be deleted like materialised tables."""
     if not _PATHS:
         atexit.register(_remove, spark)
     _PATHS.add(path)
-    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
-    Cuts the lineage: lost executors cost no recomputation beyond the table. The files go when the driver ends.
+    Cuts the lineage: lost executors cost no recomputation beyond the table. The files go when the driver ends, or with the scope() they were made in.
     """
     return df.sparkSession.read.schema(df.schema).parquet(_write(df, label))
 
@@ -91,10 +99,10 @@ def release(spark: SparkSession) -> None:
     _remove(spark)
 
 
-def _remove(spark: SparkSession) -> None:
+def _remove(spark: SparkSession, paths: set[str] | None = None) -> None:
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in list(_PATHS):
+        for path in list(_PATHS if paths is None else paths):
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
             _PATHS.discard(path)
@@ -151,26 +159,65 @@ def hot_keys(df: DataFrame, key: Column | str, share: float = HOT_SHARE) -> list
 
 
 def is_hot(columns: list[str], rows: DataFrame) -> Column | None:
-    """A condition that picks the rows of rows whose columns together hold at least HOT_SHARE of all; None if there are none."""
+    """A condition that picks the rows whose columns together hold at least HOT_SHARE of all of rows; None if there are none."""
     key = F.xxhash64(*columns)
     hot = hot_keys(rows, key)
     return key.isin(hot) if hot else None
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join left with right, in which key is unique, on key.
+def _row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row takes in memory."""
+    out = F.lit(16 + 8 * len(schema))
+    for f in schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            out = out + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            out = out + 8 * F.coalesce(F.array_size(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+    return out
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether all of df may be broadcast: its rows and their bytes are counted."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df.schema)).alias("b")).first()
+    return size.n <= BROADCAST_ROWS and (size.b or 0) <= BROADCAST_BYTES
 
-    right is broadcast if it has at most BROADCAST_ROWS rows. Else left is materialised, as it is read several times; its
-    rows under hot keys (at most 1 / HOT_SHARE keys) meet a broadcast extract of right, and only the others are shuffled.
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", left_like: DataFrame | None = None, right_like: DataFrame | None = None) -> DataFrame:
+    """Join left with right, in which key is unique, on key; how is inner or left.
+
+    right is broadcast if it has at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes. Else rows of left under hot keys
+    (at most 1 / HOT_SHARE keys) meet a broadcast extract of right, rows with a NULL key pass by the join, and only the
+    others are shuffled. left is materialised for that, as it is read several times, unless left_like is given: a table that is
+    cheap to read and has left's key columns with about the same rows. right_like is a table of at least right's rows that
+    is cheaper to measure.
     """
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), key, how)
-    left = materialise(left, "left")
-    hot = hot_keys(left, key)
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return (
-        left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
-        .unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
-    )
+    keys = [key] if isinstance(key, str) else key
+    if fits_broadcast(right if right_like is None else right_like):
+        return left.join(F.broadcast(right), keys, how)
+    if left_like is None:
+        left = left_like = materialise(left, "left")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    kinds = {f.name: f.dataType for f in left.schema}
+    hash_ = F.xxhash64(*[F.col(k).cast(kinds[k]) for k in keys])
+    hot = hot_keys(left_like, F.when(known, hash_))
+    spread_ = F.coalesce(hash_.isin(hot), F.lit(False)) if hot else F.lit(False)
+    out = left.where(known & ~spread_).join(right.where(~spread_) if hot else right, keys, how)
+    if hot:
+        out = out.unionByName(left.where(known & spread_).join(F.broadcast(right.where(spread_)), keys, how))
+    if how == "left":
+        out = out.unionByName(left.where(~known).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name not in keys]))
+    return out
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised within are deleted at the end, when nothing that is built on them is needed any more."""
+    before = set(_PATHS)
+    try:
+        yield
+    finally:
+        _remove(spark, _PATHS - before)

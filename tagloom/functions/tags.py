@@ -42,10 +42,14 @@ def with_prefix(tags: Column, prefix: str) -> Column:
 
 
 def parse_unsigned(text: Column, most: int) -> Column:
-    """An optional plus sign and digits, nothing else, up to `most`, as BIGINT; NULL for any other text."""
-    digits = F.when(text.rlike(r"^\+?[0-9]{1,19}$"), text)
-    number = digits.try_cast("decimal(20,0)")
-    return F.when(number <= F.lit(most).cast("decimal(20,0)"), number.cast("bigint"))
+    """An optional plus sign and digits, nothing else, up to `most` (below 10 ** 20); NULL for any other text.
+
+    BIGINT, or DECIMAL(20, 0) where most doesn't fit into it. Leading zeros don't count, however many.
+    """
+    digits = F.regexp_extract(text, r"\A\+?0*([0-9]+)\z", 1)
+    number = F.when(F.length(digits).between(1, 20), digits).try_cast("decimal(20,0)")
+    fits = F.when(number <= F.lit(str(most)).cast("decimal(20,0)"), number)
+    return fits.cast("bigint") if most < 2**63 else fits
 
 
 def classify_way(tags: Column, n_refs: Column) -> Column:

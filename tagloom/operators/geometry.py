@@ -23,7 +23,7 @@ def located_refs(m: MapTables, ways: DataFrame | None = None) -> DataFrame:
     Ways are filtered before the join with nodes, which carries only positions.
     """
     refs = m.refs if ways is None else m.refs.join(ways.select("idx"), "idx", "left_semi")
-    return refs.select("idx", "pos", "node_idx").join(m.positions(), "node_idx", "left").select("idx", "pos", "lat", "lon")
+    return m.located(refs.select("idx", "pos", "node_idx")).select("idx", "pos", "lat", "lon")
 
 
 def whole_lines(m: MapTables, ways: DataFrame | None = None) -> DataFrame:
@@ -87,16 +87,17 @@ def pixels(points: DataFrame, width: int) -> DataFrame:
 
 def classify_ways(m: MapTables) -> DataFrame:
     """idx, category, width of roads and rivers among ways of at least 3 references."""
-    first = first_tag(m.way_tags, F.col("k").isin("highway", "waterway"))
-    wide = first_tag(m.way_tags, F.col("k").isin("width", "maxwidth"), "w_")
+
+    def first(*keys: str) -> Column:
+        return F.min(F.when(F.col("k").isin(*keys), F.struct("pos", "k", "v")))
+
+    tags = m.way_tags.where(F.col("k").isin("highway", "waterway", "width", "maxwidth")).groupBy("idx").agg(first("highway", "waterway").alias("t"), first("width", "maxwidth").alias("w"))
     long_ = m.refs.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("idx")
-    width = F.when(F.col("w_k").isNull(), F.lit(1).cast("bigint")).otherwise(parse_unsigned(F.col("w_v"), 2**32 - 1))
-    road = (F.col("k") == "highway") & ~F.coalesce(F.col("v").isin(*NOT_DRIVABLE), F.lit(False))
-    return (
-        first.join(long_, "idx", "left_semi").join(wide, "idx", "left")
-        .withColumn("category", F.when(road, "road").when((F.col("k") == "waterway") & width.isNotNull(), "river"))
-        .where("category is not null").select("idx", "category", F.when(F.col("category") == "river", width).alias("width"))
-    )
+    width = F.when(F.col("w").isNull(), F.lit(1).cast("bigint")).otherwise(parse_unsigned(F.col("w.v"), 2**32 - 1))
+    road = (F.col("t.k") == "highway") & ~F.coalesce(F.col("t.v").isin(*NOT_DRIVABLE), F.lit(False))
+    category = F.when(road, "road").when((F.col("t.k") == "waterway") & width.isNotNull(), "river")
+    named = tags.where("t is not null").select("idx", category.alias("category"), width.alias("width")).where("category is not null")
+    return named.join(long_, "idx", "left_semi").select("idx", "category", F.when(F.col("category") == "river", F.col("width")).alias("width"))
 
 
 def classify_relations(m: MapTables) -> DataFrame:
@@ -104,24 +105,24 @@ def classify_relations(m: MapTables) -> DataFrame:
     k, v = F.col("k"), F.col("v")
     kind = F.when((k == "type") & (v == "multipolygon"), "m").when(is_park(k, v), "p").when(is_lake(k, v), "l")
     marked = m.relation_tags.withColumn("kind", kind).where("kind is not null")
-    start = marked.groupBy("idx").agg(F.min(F.when(F.col("kind") == "m", F.col("pos"))).alias("m"))
-
-    def least(what: str, after: bool) -> Column:
-        return F.min(F.when((F.col("kind") == what) & (F.col("pos") > F.col("m") if after else F.lit(True)), F.col("pos")))
-
-    per = marked.join(start, "idx").groupBy("idx").agg(F.first("m").alias("m"), least("p", False).alias("p"), least("l", False).alias("l"), least("p", True).alias("pa"), least("l", True).alias("la"))
-    return per.select("idx", relation_category(*(F.col(c) for c in ("m", "p", "l", "pa", "la"))).alias("category")).where("category is not null")
+    # tags of one relation that say what it is
+    places = marked.groupBy("idx").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == x, F.col("pos")))).alias(x) for x in "mpl"]).where("size(m) > 0")
+    first = {x: F.try_element_at(x, F.lit(1)) for x in "mpl"}
+    after = [F.try_element_at(F.filter(x, lambda p: p > F.try_element_at("m", F.lit(1))), F.lit(1)) for x in "pl"]
+    return places.select("idx", relation_category(first["m"], first["p"], first["l"], *after).alias("category")).where("category is not null")
 
 
 def rings(m: MapTables, relations: DataFrame) -> DataFrame:
-    """rel_idx, member_pos, pos, lat, lon: outlines of these relations, in order of members and references.
+    """rel_idx, member_pos, pos, lat, lon and the further columns of relations (idx, ...): their outlines, in order of members and references.
 
-    Relations with an unresolved outer way or a reference without position are left out; those without outer ways have no rows.
+    Relations with an unresolved outer way or a reference without position are left out; those without outer ways have no
+    rows. Only the references of outer ways are looked up.
     """
-    outer = m.members.where("mtype = 'way' and role = 'outer'").join(relations.select("idx"), "idx", "left_semi").select(F.col("idx").alias("rel_idx"), F.col("pos").alias("member_pos"), F.col("ref_idx").alias("idx"))
-    lines = outer.join(located_refs(m), "idx", "left")
-    bad = lines.where("idx is null or (pos is not null and lat is null)").select("rel_idx").distinct()
-    return lines.where("pos is not null").join(bad, "rel_idx", "left_anti").select("rel_idx", "member_pos", "pos", "lat", "lon")
+    more = [c for c in relations.columns if c != "idx"]
+    outer = m.members.where("mtype = 'way' and role = 'outer'").join(relations, "idx").select(F.col("idx").alias("rel_idx"), F.col("pos").alias("member_pos"), F.col("ref_idx").alias("idx"), *more)
+    lines = outer.join(located_refs(m, outer.where("idx is not null").select("idx").distinct()), "idx", "left")
+    bad = F.count_if(F.expr("idx is null or (pos is not null and lat is null)")).over(Window.partitionBy("rel_idx"))
+    return lines.withColumn("_bad", bad).where("_bad = 0 and pos is not null").select("rel_idx", "member_pos", "pos", "lat", "lon", *more)
 
 
 def features(m: MapTables) -> DataFrame:
@@ -135,8 +136,7 @@ def feature_points(m: MapTables) -> DataFrame:
     """kind, idx, category, width, part, pos, lat, lon of every feature that can be drawn and has points."""
     ways = classify_ways(m)
     way_lines = whole_lines(m, ways).join(ways, "idx").select(F.lit("way").alias("kind"), "idx", "category", "width", F.lit(0).alias("part"), "pos", "lat", "lon")
-    rels = classify_relations(m)
-    outlines = rings(m, rels).withColumnRenamed("rel_idx", "idx").join(rels, "idx")
+    outlines = rings(m, classify_relations(m)).withColumnRenamed("rel_idx", "idx")
     return way_lines.unionByName(outlines.select(F.lit("relation").alias("kind"), "idx", "category", F.lit(None).cast("bigint").alias("width"), F.col("member_pos").alias("part"), "pos", "lat", "lon"))
 
 

@@ -7,12 +7,17 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagloom.core import lookup_join
 from tagloom.sources.tables import table
 
 #: Fixed value: units of a degree in which positions are stored.
 COORD_SCALE = 10_000_000
 
 
+class MissingIds(ValueError):
+    """The query is about original ids, which this dataset was stored without."""
+
+
 class MapTables:
     """The tables of one folder. Rows delivered more than once count once; load times and versions don't make rows differ."""
 
@@ -70,6 +75,34 @@ class MapTables:
         """node_idx, lat, lon of nodes in degrees; a node without both is no position."""
         return self.nodes.where("lat is not null and lon is not null").select(F.col("idx").alias("node_idx"), degrees("lat").alias("lat"), degrees("lon").alias("lon"))
 
+    def like(self, name: str) -> DataFrame:
+        """A table as delivered: what may be in its set of rows, cheap to read and to measure."""
+        return table(self._spark, self._folder, name)
+
+    def require_ids(self) -> None:
+        """Raise MissingIds if original ids aren't known."""
+
+    def located(self, refs: DataFrame) -> DataFrame:
+        """refs (node_idx, ...) with lat and lon; NULL where node_idx leads to no position."""
+        return lookup_join(refs, self.positions(), "node_idx", "left", self.like("way_ref").select("node_idx"), self.like("node").select("idx", "lat", "lon"))
+
+    def resolved_refs(self) -> DataFrame:
+        """References with found_idx, the position of the node that they name; NULL where there is none."""
+        return resolve(self.refs, self.nodes, self.like("way_ref").select("ref_osm_id"), self.like("node").select("idx", "osm_id"))
+
+    def resolved_members(self, mtype: str | None = None) -> DataFrame:
+        """Members (of one type) with found_idx, the position of the entity that they name."""
+        names = {"node": "node", "way": "way", "relation": "rel"}
+        wanted = [mtype] if mtype else list(names)
+        ids = self.entities().where(F.col("kind").isin(wanted))
+        members = self.members if mtype is None else self.members.where(F.col("mtype") == mtype)
+        every = None
+        for kind in wanted:
+            one = self.like(names[kind]).select(F.lit(kind).alias("kind"), "idx", "osm_id")
+            every = one if every is None else every.unionByName(one)
+        like = self.like("rel_member").select("mtype", "ref_osm_id")
+        return resolve_members(members, ids, like if mtype is None else like.where(F.col("mtype") == mtype), every)
+
 
 def degrees(column: str) -> Column:
     return F.col(column).cast("double") / F.lit(float(COORD_SCALE))
@@ -83,12 +116,15 @@ def first_tag(tags: DataFrame, condition: Column, prefix: str = "") -> DataFrame
     )
 
 
-def resolve(children: DataFrame, ids: DataFrame) -> DataFrame:
-    """children (ref_osm_id, ...) with idx of the entity of that id in ids (idx, osm_id), as found_idx; NULL where there is none."""
-    return children.join(ids.select(F.col("osm_id").alias("ref_osm_id"), F.col("idx").alias("found_idx")), "ref_osm_id", "left")
+def resolve(children: DataFrame, ids: DataFrame, children_like: DataFrame | None = None, ids_like: DataFrame | None = None) -> DataFrame:
+    """children (ref_osm_id, ...) with idx of the entity of that id in ids (idx, osm_id), as found_idx; NULL where there is none.
+
+    Much-used ids and NULLs are spread; for the others see lookup_join.
+    """
+    return lookup_join(children, ids.select(F.col("osm_id").alias("ref_osm_id"), F.col("idx").alias("found_idx")), "ref_osm_id", "left", children_like, ids_like)
 
 
-def resolve_members(members: DataFrame, entities: DataFrame) -> DataFrame:
+def resolve_members(members: DataFrame, entities: DataFrame, members_like: DataFrame | None = None, entities_like: DataFrame | None = None) -> DataFrame:
     """members with found_idx; the target is told by type and id together, as ids of the three kinds overlap."""
     ids = entities.select(F.col("kind").alias("mtype"), F.col("osm_id").alias("ref_osm_id"), F.col("idx").alias("found_idx"))
-    return members.join(ids, ["mtype", "ref_osm_id"], "left")
+    return lookup_join(members, ids, ["mtype", "ref_osm_id"], "left", members_like, entities_like)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.core import dense_ids, materialise
-from tagloom.operators.dictionary import gcd_of
+from tagloom.core import dense_ids, materialise, scope
 from tagloom.operators.maps import resolve, resolve_members
 from tagloom.sources.dataset import MapDataset, nest
 from tagloom.sources.pbf import PARTITION_BYTES, PbfError, read_pbf
@@ -20,19 +21,36 @@ def block_index(spark: SparkSession, path: str, partition_bytes: int = PARTITION
     return read_pbf(spark, path, "blocks", partition_bytes).orderBy(kind, "granularity", "blob_start", "blob_len")
 
 
+def _numbered(rows: DataFrame, entity: str) -> DataFrame:
+    """rows with idx, the rank of osm_id; whole rows delivered twice count once, different rows of one id are an error."""
+    rows = rows.withColumn("_row", F.xxhash64(*rows.columns))
+    once = materialise(rows.dropDuplicates(["osm_id", "_row"]).drop("_row"), entity)
+    if twice := once.groupBy("osm_id").count().where("count > 1").limit(1).collect():
+        raise PbfError(f"{entity} has different entities of the id {twice[0].osm_id}")
+    return dense_ids(once, ["osm_id"], "idx")
+
+
 def compile_pbf(spark: SparkSession, source: str, target: str, ids: bool = False, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """Write the dataset of a file into the folder target and return one row of counts.
 
-    Entities are numbered by the rank of their id, whatever the order of blocks; an id that occurs twice keeps one row. The
+    Entities are numbered by the rank of their id, whatever the order of blocks; repeated rows count once, and different
+    entities of one kind and id are an error. The
     file must have exactly one header. Positions are stored in the largest unit that all blocks' granularities and a
     degree share. Without ids the original ids aren't stored. The dataset is read again before the counts are given.
     """
+    with scope(spark):
+        return _compile(spark, source, target, ids, partition_bytes)
+
+
+def _compile(spark: SparkSession, source: str, target: str, ids: bool, partition_bytes: int) -> DataFrame:
     headers = read_pbf(spark, source, "header").limit(2).collect()
     if len(headers) != 1:
         raise PbfError(f"{source} has {'no header' if not headers else 'more than one header'}")
     h = headers[0]
-    blocks = read_pbf(spark, source, "blocks", partition_bytes).where("block_type = 'nodes'")
-    unit = gcd_of(blocks.select("granularity").distinct(), "granularity", NANO).first().gcd
+    # the index is read once, a row for each block; each entity then opens its own blocks alone
+    index = read_pbf(spark, source, "index", partition_bytes).collect()
+    of = {e: [(r.path, r.blob_start, r.blob_len) for r in index if e in r.kinds] for e in ("nodes", "ways", "relations")}
+    unit = math.gcd(NANO, *{r.granularity for r in index if "nodes" in r.kinds})
 
     def scaled(name: str):
         return F.expr(f"cast({name} div {unit} as int)")
@@ -42,7 +60,7 @@ def compile_pbf(spark: SparkSession, source: str, target: str, ids: bool = False
         [(NANO // unit, *(None if x is None else int(x / unit) for x in box), h.writingprogram, h.source, h.replication_timestamp, h.replication_sequence_number, h.replication_base_url)],
         "coord_scale int, bbox_left int, bbox_right int, bbox_top int, bbox_bottom int, writingprogram string, source string, replication_timestamp bigint, replication_sequence_number bigint, replication_base_url string",
     )
-    entities = {e: dense_ids(read_pbf(spark, source, e, partition_bytes).dropDuplicates(["osm_id"]), ["osm_id"], "idx") for e in ("nodes", "ways", "relations")}
+    entities = {e: _numbered(read_pbf(spark, source, e, partition_bytes, of[e]), e) for e in of}
     nodes = entities["nodes"].select("idx", "osm_id", scaled("lat_nano").alias("lat"), scaled("lon_nano").alias("lon"), "tags")
     refs = materialise(resolve(entities["ways"].select("idx", F.posexplode("refs").alias("pos", "ref_osm_id")), nodes), "refs")
     ways = nest(entities["ways"].select("idx", "osm_id", "tags"), refs.select("idx", "pos", F.col("ref_osm_id").alias("osm_id"), F.col("found_idx").alias("to")), "refs", ["osm_id", "to"])

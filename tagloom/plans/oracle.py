@@ -108,6 +108,7 @@ SQL: dict[str, str] = {
       up as (select child as descendant, parent as ancestor, 1 as steps, [parent] as trail from l where child not in (select node from down)
         union all select u.descendant, l.parent, u.steps + 1, list_append(u.trail, l.parent) from up u join l on l.child = u.ancestor where not list_contains(u.trail, l.parent))
       select ancestor, descendant, cast(steps as bigint) as steps from up""",
+    "p5_unfollowed": f"with recursive {_LINKS} select child as idx, parent as parent_idx from l where parent > (select min(x.parent) from l x where x.child = l.child)",
     "p7_near": _NEAR,
     "p7_found": f"select idx_a, idx_b from ({_NEAR})",
 }
@@ -131,7 +132,7 @@ dist as (select idx, pos, 2 * 6372797.560856e0 * asin(least(1e0, sqrt(power(sin(
 len as (select hw.idx, case when bool_or(d.idx is not null and d.metres is null) then null else coalesce(sum(d.metres), 0) end as metres
   from hw left join dist d on d.idx = hw.idx group by hw.idx),
 first_hw as (select idx, k, v from wt where k in ('highway', 'waterway') qualify row_number() over (partition by idx order by pos) = 1),
-first_wide as (select idx, v, case when regexp_full_match(v, '[+]?[0-9]{{1,19}}') then cast(v as hugeint) end as num
+first_wide as (select idx, v, case when regexp_full_match(v, '[+]?[0-9]+') then try_cast(v as hugeint) end as num
   from wt where k in ('width', 'maxwidth') qualify row_number() over (partition by idx order by pos) = 1),
 cw as (select f.idx, case when f.k = 'highway' then 'road' else 'river' end as category,
     case when f.k = 'highway' then null when x.idx is null then 1 else cast(x.num as bigint) end as width
@@ -187,7 +188,7 @@ _MAP_SQL = {
     "unresolved_refs": "select idx, pos, ref_osm_id from wr where not exists (select 1 from n where n.osm_id = wr.ref_osm_id)",
     "cities": """, fk as (select idx, k, v from nt where k in ('place', 'name', 'population') qualify row_number() over (partition by idx, k order by pos) = 1)
       select p.idx, a.v as name, cast(q.v as bigint) as population from fk p join fk a on a.idx = p.idx and a.k = 'name' join fk q on q.idx = p.idx and q.k = 'population'
-      where p.k = 'place' and p.v = 'city' and a.v is not null and regexp_full_match(q.v, '[+]?[0-9]{1,19}') and try_cast(q.v as bigint) is not null""",
+      where p.k = 'place' and p.v = 'city' and a.v is not null and regexp_full_match(q.v, '[+]?[0-9]+') and try_cast(q.v as bigint) is not null""",
     "pub_names": """, nm as (select kind, idx, v from nwt where k = 'name' qualify row_number() over (partition by kind, idx order by pos) = 1)
       select pub.kind, pub.idx, coalesce(v, 'unknown pub name') as name from pub left join nm on nm.kind = pub.kind and nm.idx = pub.idx""",
     "pub_addresses": "select nwt.kind, nwt.idx, pos, k, v from nwt join pub on pub.kind = nwt.kind and pub.idx = nwt.idx where starts_with(k, 'addr:')",

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from tagloom.core import dense_ids
 from tagloom.functions.tags import NOT_DRIVABLE, parse_unsigned
 from tagloom.operators import dictionary, geometry
-
-from tagloom.operators.hierarchy import circle_descendants, descendants, hierarchy, paths
-from tagloom.operators.maps import COORD_SCALE, MapTables, degrees, first_tag, resolve, resolve_members
+from tagloom.operators.hierarchy import circle_descendants, descendants, hierarchy, paths, unfollowed
+from tagloom.operators.maps import COORD_SCALE, MapTables, degrees, first_tag
 from tagloom.operators.near import pairs_within
 from tagloom.operators.units import COMMON, LEAST, read_units
 from tagloom.operators.wide import widen
@@ -71,6 +70,11 @@ def p5_circle_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return circle_descendants(relation_links(spark, folder))
 
 
+def p5_unfollowed(spark: SparkSession, folder: str) -> DataFrame:
+    """Links to second parents, which no tree of p5_found has."""
+    return unfollowed(relation_links(spark, folder)).select(F.col("child").alias("idx"), F.col("parent").alias("parent_idx"))
+
+
 def p6_wide(spark: SparkSession, folder: str) -> DataFrame:
     return widen(tag_rows(spark, folder), table(spark, folder, "attr_type"), report_keyless=True)
 
@@ -97,6 +101,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 Maps = Callable[[MapTables], DataFrame]
 
 
+def _needs_ids(f: Maps) -> Maps:
+    """f, with MissingIds instead of wrong rows on a dataset that was stored without ids."""
+
+    def run(m: MapTables) -> DataFrame:
+        m.require_ids()
+        return f(m)
+
+    run.__doc__ = f.__doc__
+    return run
+
+
 def _on(f: Maps) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return f(MapTables(spark, folder))
@@ -157,11 +172,13 @@ def unresolved_refs(m: MapTables) -> DataFrame:
     return m.refs.join(m.nodes.select(F.col("osm_id").alias("ref_osm_id")), "ref_osm_id", "left_anti").select("idx", "pos", "ref_osm_id")
 
 
-def cities(m: MapTables) -> DataFrame:
-    """Nodes whose first place is city, with a name and a population that is a plain number (below 2 ** 63)."""
-    first = {k: first_tag(m.node_tags, F.col("k") == k).select("idx", F.col("v").alias(k)) for k in ("place", "name", "population")}
-    cities_ = first["place"].where("place = 'city'").join(first["name"], "idx").join(first["population"], "idx")
-    return cities_.select("idx", "name", parse_unsigned(F.col("population"), 2**63 - 1).alias("population")).where("is_valid_utf8(name) and population is not null")
+def cities(m: MapTables, most: int = 2**63 - 1) -> DataFrame:
+    """Nodes whose first place is city, with a name and a population that is a plain number up to `most`: a BIGINT, or with
+    2 ** 64 - 1, as the command line has it, a DECIMAL."""
+    keys = ("place", "name", "population")
+    first = [F.min(F.when(F.col("k") == k, F.struct("pos", "v"))).getField("v").alias(k) for k in keys]
+    cities_ = m.node_tags.where(F.col("k").isin(*keys)).groupBy("idx").agg(*first).where("place = 'city'")
+    return cities_.select("idx", "name", parse_unsigned(F.col("population"), most).alias("population")).where("is_valid_utf8(name) and population is not null")
 
 
 def _pubs(m: MapTables) -> DataFrame:
@@ -187,22 +204,22 @@ def pub_addresses(m: MapTables) -> DataFrame:
 
 
 def way_refs_resolved(m: MapTables) -> DataFrame:
-    return resolve(m.refs, m.nodes).select("idx", "pos", F.col("found_idx").alias("node_idx"))
+    return m.resolved_refs().select("idx", "pos", F.col("found_idx").alias("node_idx"))
 
 
 def member_resolution(m: MapTables) -> DataFrame:
-    return resolve_members(m.members, m.entities()).select(F.col("idx").alias("rel_idx"), "pos", "mtype", F.col("found_idx").alias("idx"), "role")
+    return m.resolved_members().select(F.col("idx").alias("rel_idx"), "pos", "mtype", F.col("found_idx").alias("idx"), "role")
 
 
 def members_by_type(m: MapTables) -> DataFrame:
-    return resolve_members(m.members, m.entities()).groupBy("mtype").agg(F.count(F.lit(1)).alias("n"), F.count("found_idx").alias("resolved"))
+    return m.resolved_members().groupBy("mtype").agg(F.count(F.lit(1)).alias("n"), F.count("found_idx").alias("resolved"))
 
 
 def compile_stats(m: MapTables) -> DataFrame:
     """One row: entities, and ids that lead nowhere, by kind."""
     counts = m.entities().groupBy().pivot("kind", ["node", "way", "relation"]).agg(F.count(F.lit(1)))
-    lost = resolve_members(m.members, m.entities()).where("found_idx is null").groupBy().pivot("mtype", ["node", "way", "relation"]).agg(F.count(F.lit(1)))
-    refs = resolve(m.refs, m.nodes).agg(F.count_if(F.col("found_idx").isNull()).alias("r"))
+    lost = m.resolved_members().where("found_idx is null").groupBy().pivot("mtype", ["node", "way", "relation"]).agg(F.count(F.lit(1)))
+    refs = m.resolved_refs().agg(F.count_if(F.col("found_idx").isNull()).alias("r"))
     zero = F.lit(0).cast("bigint")
     return (
         counts.select(*[F.coalesce(k, zero).alias(n) for k, n in (("node", "nodes"), ("way", "ways"), ("relation", "relations"))])
@@ -250,7 +267,7 @@ def raster_pixels(m: MapTables) -> DataFrame:
 
 
 def multipolygon_rings(m: MapTables) -> DataFrame:
-    return _rounded(geometry.rings(m, geometry.classify_relations(m)))
+    return _rounded(geometry.rings(m, geometry.classify_relations(m).select("idx")))
 
 
 def multipolygon_sizes(m: MapTables) -> DataFrame:
@@ -373,14 +390,14 @@ MAP_QUERIES: dict[str, Maps] = {
     "drivable_roads": geometry.drivable,
     "classify_ways": geometry.classify_ways,
     "semi_join_tagged": semi_join_tagged,
-    "unresolved_refs": unresolved_refs,
+    "unresolved_refs": _needs_ids(unresolved_refs),
     "cities": cities,
     "pub_names": pub_names,
     "pub_addresses": pub_addresses,
     "way_refs_resolved": way_refs_resolved,
     "compile_stats": compile_stats,
     "member_resolution": member_resolution,
-    "relation_self_join": lambda m: resolve_members(m.members.where("mtype = 'relation'"), m.entities().where("kind = 'relation'")).select(F.col("idx").alias("rel_idx"), "pos", F.col("found_idx").alias("member_idx")),
+    "relation_self_join": lambda m: m.resolved_members("relation").select(F.col("idx").alias("rel_idx"), "pos", F.col("found_idx").alias("member_idx")),
     "members_by_type": members_by_type,
     "way_coords": way_coords,
     "road_segments": road_segments,
@@ -399,18 +416,18 @@ MAP_QUERIES: dict[str, Maps] = {
     "debug_nodes": debug_nodes,
     "debug_ways": debug_ways,
     "debug_relations": debug_relations,
-    "ids_join": lambda m: m.entities(),
-    "id_to_idx": id_to_idx,
-    "unsorted_ids": unsorted_ids,
-    "id_block_offsets": lambda m: dictionary.block_offsets(m.nodes, BLOCK_BITS),
-    "bitmap_rank": lambda m: dictionary.bitmap_rank(m.nodes),
+    "ids_join": _needs_ids(lambda m: m.entities()),
+    "id_to_idx": _needs_ids(id_to_idx),
+    "unsorted_ids": _needs_ids(unsorted_ids),
+    "id_block_offsets": _needs_ids(lambda m: dictionary.block_offsets(m.nodes, BLOCK_BITS)),
+    "bitmap_rank": _needs_ids(lambda m: dictionary.bitmap_rank(m.nodes)),
     "tag_dictionary": lambda m: dictionary.tag_dictionary(_ordered_tags(m)),
     "string_table": lambda m: dictionary.string_table(_ordered_tags(m)),
     "tag_ranges": lambda m: dictionary.ranges(m.nodes, m.node_tags),
-    "delta_decode": delta_decode,
-    "i40_roundtrip": i40_roundtrip,
+    "delta_decode": _needs_ids(delta_decode),
+    "i40_roundtrip": _needs_ids(i40_roundtrip),
     "granularity_gcd": granularity_gcd,
-    "block_order": block_order,
+    "block_order": _needs_ids(block_order),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on(f) for name, f in MAP_QUERIES.items()} | {
@@ -422,6 +439,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on(f) for
     "p5_paths": p5_paths,
     "p5_descendants": p5_descendants,
     "p5_circle_descendants": p5_circle_descendants,
+    "p5_unfollowed": p5_unfollowed,
     "p6_found": p6_found,
     "p6_wide": p6_wide,
     "p6_typed": p6_typed,

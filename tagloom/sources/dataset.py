@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import tarfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.operators.maps import COORD_SCALE, MapTables
+from tagloom.core import keep, lookup_join, shared_dir
+from tagloom.operators.maps import COORD_SCALE, MapTables, MissingIds
 
 _TAGS = "tags array<struct<k: string, v: string>>"
 SCHEMAS = {
@@ -28,6 +32,15 @@ def _struct(schema: str) -> T.StructType:
     return T.StructType.fromDDL(schema)
 
 
+def _without_ids(df: DataFrame, name: str) -> DataFrame:
+    none = F.lit(None).cast("bigint")
+    df = df.withColumn("osm_id", none)
+    for column in ("refs", "members"):
+        if column in df.columns:
+            df = df.withColumn(column, F.transform(column, lambda x: x.withField("osm_id", none)))
+    return df
+
+
 @dataclass
 class MapDataset:
     """header (one row), nodes, ways and relations; entities own their tags, references and members as ordered arrays.
@@ -43,8 +56,10 @@ class MapDataset:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> MapDataset:
-        """Read what save() wrote; a table with other columns or types raises SchemaMismatch."""
+        """Read what save() wrote, or a tar of it (unpacked into the shared folder); a table with other columns or types raises SchemaMismatch."""
         tables = {}
+        if path.endswith(".tar"):
+            path = _unpacked(spark, path)
         for name, schema in SCHEMAS.items():
             want = _struct(schema)
             have = spark.read.parquet(f"{path}/{name}").schema
@@ -54,12 +69,12 @@ class MapDataset:
         return cls(**tables)
 
     def save(self, path: str, ids: bool = True, mode: str = "errorifexists") -> None:
-        """Write all tables, each sorted by idx so that a lookup reads few row groups; without ids their columns are NULL."""
+        """Write all tables, each sorted by idx so that a lookup reads few row groups; without ids their columns are NULL, in references and members too."""
         for name in SCHEMAS:
             df = getattr(self, name)
             if name != "header":
                 if not ids:
-                    df = df.withColumn("osm_id", F.lit(None).cast("bigint"))
+                    df = _without_ids(df, name)
                 df = df.repartitionByRange("idx").sortWithinPartitions("idx")
             df.to(_struct(SCHEMAS[name])).write.mode(mode).parquet(f"{path}/{name}")
 
@@ -68,6 +83,10 @@ class MapDataset:
         sides = [(F.col(f"bbox_{s}").cast("double") / F.col("coord_scale")).alias(s) for s in ("left", "right", "top", "bottom")]
         return self.header.select(*sides, "writingprogram", "source", F.timestamp_seconds("replication_timestamp").alias("replication_time"), "replication_sequence_number", "replication_base_url")
 
+    def has_ids(self) -> bool:
+        """Whether original ids were stored; true for an empty dataset."""
+        return all(df.isEmpty() or not df.where("osm_id is not null").isEmpty() for df in (self.nodes, self.ways, self.relations))
+
     def node_tags(self) -> DataFrame:
         return explode_tags(self.nodes)
 
@@ -90,11 +109,28 @@ class MapDataset:
 
 
 class DatasetTables(MapTables):
-    """MapTables over a stored dataset, whose rows are unique already: no query needs a shuffle for that."""
+    """MapTables over a stored dataset, whose rows are unique already: no query needs a shuffle for that.
+
+    References and members lead to the positions that were stored with them; ids play no part in that.
+    """
 
     def __init__(self, data: MapDataset):
         self._data = data
 
+    def require_ids(self) -> None:
+        if not self._data.has_ids():
+            raise MissingIds("this dataset was stored without original ids")
+
+    def located(self, refs: DataFrame) -> DataFrame:
+        return lookup_join(refs, self.positions(), "node_idx", "left", self.refs.select("node_idx"), self.nodes.select("idx", "lat", "lon"))
+
+    def resolved_refs(self) -> DataFrame:
+        return self.refs.withColumn("found_idx", F.col("node_idx"))
+
+    def resolved_members(self, mtype: str | None = None) -> DataFrame:
+        members = self.members if mtype is None else self.members.where(F.col("mtype") == mtype)
+        return members.withColumn("found_idx", F.col("ref_idx"))
+
     @property
     def nodes(self) -> DataFrame:
         return self._data.nodes.drop("tags")
@@ -128,6 +164,26 @@ class DatasetTables(MapTables):
         return self._data.relation_members()
 
 
+def _unpacked(spark: SparkSession, path: str) -> str:
+    """The folder, in the shared one, of the files of a tar; they are copied one by one, in pieces."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = f"{shared_dir(spark)}/tagloom-tar-{uuid.uuid4().hex}"
+    keep(spark, target)
+    fs = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(conf)
+    with tarfile.open(path.removeprefix("file:")) as tar:
+        for member in tar:
+            name = os.path.normpath(member.name)
+            if not member.isfile() or name.startswith(("..", "/")) or os.path.basename(name).startswith((".", "_")):
+                continue
+            source, out = tar.extractfile(member), fs.create(jvm.org.apache.hadoop.fs.Path(f"{target}/{name}"))
+            try:
+                while piece := source.read(4 << 20):
+                    out.write(piece)
+            finally:
+                out.close()
+    return target
+
+
 def explode_tags(entities: DataFrame) -> DataFrame:
     return entities.select("idx", F.posexplode("tags").alias("pos", "t")).select("idx", "pos", "t.k", "t.v")
 
@@ -142,16 +198,16 @@ def nest(parents: DataFrame, children: DataFrame, name: str, fields: list[str])
 
 
 def from_tables(m: MapTables) -> MapDataset:
-    """A dataset of the flat tables; repeated rows go, order stays."""
+    """A dataset of the flat tables; repeated rows go, order stays, references and members are resolved by id."""
     header = m.nodes.agg(
         F.lit(COORD_SCALE).alias("coord_scale"), F.min("lon").alias("bbox_left"), F.max("lon").alias("bbox_right"), F.max("lat").alias("bbox_top"), F.min("lat").alias("bbox_bottom"),
         F.lit("tagloom").alias("writingprogram"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("replication_timestamp"),
         F.lit(None).cast("bigint").alias("replication_sequence_number"), F.lit(None).cast("string").alias("replication_base_url"),
     )
     nodes = nest(m.nodes, m.node_tags, "tags", ["k", "v"]).select("idx", "osm_id", "lat", "lon", "tags")
-    refs = m.refs.select("idx", "pos", F.col("ref_osm_id").alias("osm_id"), F.col("node_idx").alias("to"))
+    refs = m.resolved_refs().select("idx", "pos", F.col("ref_osm_id").alias("osm_id"), F.col("found_idx").alias("to"))
     ways = nest(nest(m.ways, m.way_tags, "tags", ["k", "v"]), refs, "refs", ["osm_id", "to"])
-    members = m.members.select("idx", "pos", F.col("mtype").alias("type"), F.col("ref_osm_id").alias("osm_id"), F.col("ref_idx").alias("to"), "role")
+    members = m.resolved_members().select("idx", "pos", F.col("mtype").alias("type"), F.col("ref_osm_id").alias("osm_id"), F.col("found_idx").alias("to"), "role")
     relations = nest(nest(m.relations, m.relation_tags, "tags", ["k", "v"]), members, "members", ["type", "osm_id", "to", "role"])
     return MapDataset(
         header, nodes,

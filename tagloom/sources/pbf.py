@@ -7,6 +7,7 @@ over before its content is decoded.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -14,7 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+import pyarrow.fs  # noqa: F401 - pa.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tagloom.sources.wire import fields, packed, packed_lists, signed, sums_within, unzigzag, zigzag
@@ -27,6 +29,7 @@ SCHEMAS = {
     "header": "bbox_left bigint, bbox_right bigint, bbox_top bigint, bbox_bottom bigint, required string, writingprogram string, source string, "
     "replication_timestamp bigint, replication_sequence_number bigint, replication_base_url string",
     "blocks": "block_type string, granularity int, blob_start bigint, blob_len bigint",
+    "index": "path string, kinds array<string>, granularity int, blob_start bigint, blob_len bigint",
 }
 #: Field numbers of the groups of a block, of the member types, and the order of block types.
 _GROUPS = {1: "plain_nodes", 2: "nodes", 3: "ways", 4: "relations", 5: "changesets"}
@@ -46,13 +49,34 @@ class Blob:
     kind: str
     start: int
     size: int
+    path: str = ""
+
+
+def _where(path: str):
+    """(file system, path in it) of a path or URI: local, or any store that Arrow knows."""
+    if "://" in path:
+        return pa.fs.FileSystem.from_uri(path)
+    return pa.fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
+
+
+def files_of(path: str) -> list[str]:
+    """The .pbf files of a folder, in order of their names, or the file itself; paths that _open() takes."""
+    fs, inside = _where(path)
+    start = path[: len(path) - len(inside)] if "://" in path and path.endswith(inside) else ""
+    if fs.get_file_info(inside).type != pa.fs.FileType.Directory:
+        return [path]
+    return sorted(start + f.path for f in fs.get_file_info(pa.fs.FileSelector(inside)) if f.type == pa.fs.FileType.File and f.path.endswith(".pbf"))
+
+
+def _open(path: str):
+    fs, inside = _where(path)
+    return fs.open_input_file(inside)
 
 
 def frames(path: str) -> Iterator[Blob]:
     """The blobs of a file, from their headers alone."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        at = 0
+    with _open(path) as f:
+        size, at = f.size(), 0
         while at < size:
             f.seek(at)
             head = f.read(4)
@@ -71,7 +95,7 @@ def frames(path: str) -> Iterator[Blob]:
                 raise PbfError(f"{path} has a blob of unknown type {kind!r}")
             if at + 4 + n + blob > size:
                 raise PbfError(f"{path} ends within a blob")
-            yield Blob(kind, at + 4 + n, blob)
+            yield Blob(kind, at + 4 + n, blob, path)
             at += 4 + n + blob
 
 
@@ -191,6 +215,8 @@ class Block:
 def _stops(pairs: np.ndarray) -> np.ndarray:
     """Places of the zeros that end a node's list of key, value, key, value, ...; a value of 0 ends none."""
     zeros = np.flatnonzero(pairs == 0)
+    if not (np.diff(zeros, prepend=-1) % 2 == 0).any():  # an even number of entries before each zero: no value is 0
+        return zeros
     stops, start = [], 0
     for z in zeros:
         if z >= start and (z - start) % 2 == 0:
@@ -231,42 +257,54 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, entity: str, bytes_: int):
+    def __init__(self, path: str, entity: str, bytes_: int, blobs: str | None):
         self.path, self.entity, self.bytes_ = path, entity, bytes_
+        self.blobs = None if blobs is None else [Blob("OSMData", start, size, file) for file, start, size in json.loads(blobs)]
 
     def partitions(self) -> list[InputPartition]:
         wanted = "OSMHeader" if self.entity == "header" else "OSMData"
         parts: list[InputPartition] = []
         held: list[Blob] = []
-        for blob in frames(self.path):
+        bytes_ = 0
+        for blob in (b for file in files_of(self.path) for b in frames(file)) if self.blobs is None else self.blobs:
             if blob.kind != wanted:
                 continue
-            if held and sum(b.size for b in held) + blob.size > self.bytes_:
+            if held and bytes_ + blob.size > self.bytes_:
                 parts.append(_Part(held))
-                held = []
+                held, bytes_ = [], 0
             held.append(blob)
+            bytes_ += blob.size
         return [*parts, _Part(held)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        with open(self.path, "rb") as f:
-            for blob in partition.blobs:
-                f.seek(blob.start)
-                data = inflate(f.read(blob.size))
-                if self.entity == "header":
-                    row = read_header(data)
-                    kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
-                    continue
-                block = Block(data)
-                if self.entity == "blocks":
-                    kind = block.groups[-1][0] if block.groups else None
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.string()), pa.array([block.granularity], pa.int32()), pa.array([blob.start], pa.int64()), pa.array([blob.size], pa.int64())], ["block_type", "granularity", "blob_start", "blob_len"])
-                else:
-                    yield from block.batches(self.entity)
+        for path in dict.fromkeys(blob.path for blob in partition.blobs):
+            with _open(path) as f:
+                for blob in partition.blobs:
+                    if blob.path == path:
+                        f.seek(blob.start)
+                        yield from self._decode(blob, inflate(f.read(blob.size)))
+
+    def _decode(self, blob: Blob, data: bytes) -> Iterator[pa.RecordBatch]:
+        if self.entity == "header":
+            row = read_header(data)
+            kinds = [pa.int64()] * 4 + [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
+            return
+        block = Block(data)
+        place = [pa.array([block.granularity], pa.int32()), pa.array([blob.start], pa.int64()), pa.array([blob.size], pa.int64())]
+        names = ["granularity", "blob_start", "blob_len"]
+        if self.entity == "blocks":
+            kind = block.groups[-1][0] if block.groups else None
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.string()), *place], ["block_type", *names])
+        elif self.entity == "index":
+            kinds = sorted({kind for kind, _ in block.groups})
+            yield pa.RecordBatch.from_arrays([pa.array([blob.path]), pa.array([kinds], pa.list_(pa.string())), *place], ["path", "kinds", *names])
+        else:
+            yield from block.batches(self.entity)
 
 
 class PbfDataSource(DataSource):
-    """Options: path, entity (nodes by default), partition_bytes."""
+    """Options: path (of a file or a folder, local or a URI), entity (nodes by default), partition_bytes, and blobs, a list of the only blocks to read."""
 
     @classmethod
     def name(cls) -> str:
@@ -282,13 +320,14 @@ class PbfDataSource(DataSource):
         return SCHEMAS[self._entity()]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"].removeprefix("file:"), self._entity(), int(self.options.get("partition_bytes", PARTITION_BYTES)))
+        return _Reader(self.options["path"], self._entity(), int(self.options.get("partition_bytes", PARTITION_BYTES)), self.options.get("blobs"))
 
 
-def read_pbf(spark: SparkSession, path: str, entity: str, partition_bytes: int = PARTITION_BYTES):
-    """One entity of a file as a DataFrame."""
+def read_pbf(spark: SparkSession, path: str, entity: str, partition_bytes: int = PARTITION_BYTES, blobs: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """One entity of a file, or of the .pbf files of a folder, as a DataFrame; of the blocks (path, start, size) alone if they are given."""
     from tagloom.core import ship_package
 
     ship_package(spark)
     spark.dataSource.register(PbfDataSource)
-    return spark.read.format("osm_pbf").option("entity", entity).option("partition_bytes", partition_bytes).load(path)
+    reader = spark.read.format("osm_pbf").option("entity", entity).option("partition_bytes", partition_bytes)
+    return (reader if blobs is None else reader.option("blobs", json.dumps(blobs))).load(path)

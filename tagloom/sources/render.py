@@ -7,9 +7,10 @@ import zlib
 from xml.sax.saxutils import quoteattr
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from tagloom.core import materialise, scope
 from tagloom.operators import geometry
 from tagloom.operators.maps import MapTables
 
@@ -61,12 +62,17 @@ def point_text(points: DataFrame) -> DataFrame:
 
 def draw_features(m: MapTables, path: str, width: int = 800, height: int = 600) -> int:
     """Write classified features as an SVG; returns how many were drawn. Lines are streamed to the file one by one."""
-    points = geometry.feature_points(m)
-    b = geometry.bounds(points).first()
-    river = geometry.river_width(m).first().width
+    with scope(m.nodes.sparkSession):
+        points = materialise(geometry.feature_points(m), "points")
+        b = geometry.bounds(points).first()
+        river = points.where("category = 'river'").agg(F.max_by("width", "idx").alias("width")).first().width
+        lines = materialise(point_text(points), "lines")
+        return _svg(lines, path, width, height, b, river)
+
+
+def _svg(lines: DataFrame, path: str, width: int, height: int, b: Row, river: int | None) -> int:
     across, up = b.max_lon - b.min_lon, b.min_lat - b.max_lat
     scale = (width / across if across else 1.0, height / up if up else 1.0)
-    lines = point_text(points)
     drawn = 0
     with open(path, "w", encoding="utf-8") as f:
         f.write(f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {width} {height}">\n<style>polyline {{ vector-effect: non-scaling-stroke; }}</style>\n')

@@ -30,15 +30,22 @@ def tag_totals(rows: DataFrame) -> DataFrame:
 def keep_latest(batch: DataFrame, target: str, keys: list[str], order: list[str]) -> None:
     """For foreachBatch: merge a batch into the Parquet table at target so that each key keeps its latest row.
 
-    The merged table is written beside the old one and swapped in, so a lost executor or a repeated batch does no harm.
+    The merged table is written beside the old one, which moves aside while the new one takes its place. Whatever is lost
+    in between, executors or the driver, the next call finds the table: at target, or where it was moved to. A batch that
+    is merged again changes nothing. Of rows alike in order the greatest counts.
     """
     spark = batch.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(target + ".next")
-    fs = old.getFileSystem(conf)
-    rows = spark.read.parquet(target).unionByName(batch) if fs.exists(old) else batch
+    table, fresh, aside = (jvm.org.apache.hadoop.fs.Path(target + end) for end in ("", ".next", ".before"))
+    fs = table.getFileSystem(conf)
+    if not fs.exists(table) and fs.exists(aside):
+        fs.rename(aside, table)
+    rows = spark.read.parquet(target).unionByName(batch) if fs.exists(table) else batch
     others = [c for c in rows.columns if c not in keys]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("r")).select(*keys, "r.*")
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order, *others)).alias("r")).select(*keys, "r.*")
     latest.write.mode("overwrite").parquet(target + ".next")
-    fs.delete(old, True)
-    fs.rename(new, old)
+    fs.delete(aside, True)
+    if fs.exists(table):
+        fs.rename(table, aside)
+    fs.rename(fresh, table)
+    fs.delete(aside, True)

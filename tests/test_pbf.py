@@ -154,3 +154,51 @@ def test_dataset_of_tables_gives_the_same_answers(spark, sf, tmp_path):
     spark.range(1).write.mode("overwrite").parquet(str(tmp_path / "d/ways"))
     with pytest.raises(SchemaMismatch):
         MapDataset.open(spark, str(tmp_path / "d"))
+
+
+def test_every_map_query_with_and_without_ids(spark, sf, tmp_path):
+    """Queries about ids raise where there are none; all others give the same rows but for the ids that they show."""
+    import tarfile
+
+    from tagloom.operators.maps import MapTables, MissingIds
+    from tagloom.plans import queries as q
+
+    data = from_tables(MapTables(spark, sf))
+    data.save(str(tmp_path / "with"))
+    MapDataset.open(spark, str(tmp_path / "with")).save(str(tmp_path / "without"), ids=False)
+    with tarfile.open(tmp_path / "packed.tar", "w") as tar:
+        tar.add(tmp_path / "without", ".")
+    a, b = MapDataset.open(spark, str(tmp_path / "with")).tables(), MapDataset.open(spark, str(tmp_path / "packed.tar")).tables()
+    shown = {"scan_nodes", "scan_ways", "scan_relations", "debug_nodes", "debug_ways", "debug_relations"}
+    raised = set()
+    for name, f in q.MAP_QUERIES.items():
+        try:
+            without = f(b)
+        except MissingIds:
+            raised.add(name)
+            continue
+        with_ = f(a)
+        if name in shown:
+            with_, without = with_.drop("osm_id"), without.drop("osm_id")
+        assert sorted(map(repr, with_.collect())) == sorted(map(repr, without.collect())), name
+    assert raised == {"id_to_idx", "unsorted_ids", "delta_decode", "i40_roundtrip", "block_order", "unresolved_refs", "ids_join", "id_block_offsets", "bitmap_rank"}
+
+
+def test_index_blocks_and_folders(spark, tmp_path):
+    import json
+
+    from tagloom.sources.pbf import _Reader
+
+    path = write(tmp_path, tiny())
+    index = read_pbf(spark, path, "index").collect()
+    assert [r.kinds for r in index] == [["nodes"], ["ways"], ["relations"]]
+    one = [(r.path, r.blob_start, r.blob_len) for r in index if "ways" in r.kinds]
+    # only the blocks of the list are opened
+    parts = _Reader(path, "ways", 1, json.dumps(one)).partitions()
+    assert [(b.path, b.start, b.size) for p in parts for b in p.blobs] == one
+    assert read_pbf(spark, path, "ways", blobs=one).count() == 3 and read_pbf(spark, path, "nodes", blobs=one).count() == 0
+    write(tmp_path, tiny(), "g.osm.pbf")
+    assert read_pbf(spark, str(tmp_path), "ways", 1).count() == 6 and read_pbf(spark, f"file://{path}", "ways").count() == 3
+    with pytest.raises(PbfError, match="different entities"):
+        twice = frame("OSMHeader", header()) + _nodes([(9, 7, -7, []), (9, 7, -8, [])])
+        compile_pbf(spark, write(tmp_path, twice, "h.osm.pbf"), str(tmp_path / "h"))

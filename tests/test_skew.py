@@ -26,3 +26,31 @@ def test_one_parent_of_most(spark):
 def test_copies_of_one_place(spark):
     rows = [(1, 5.0, 5.0)] * 30_000 + [(i, 5.0 + i * 1e-3, 5.0) for i in range(2, 3000)] + [(9000, 5.00001, 5.0)]
     assert [(r.id_a, r.id_b) for r in pairs_within(spark.createDataFrame(rows, "idx bigint, lat double, lon double"), 25).collect()] == [(1, 9000)]
+
+
+def test_half_of_the_references_on_one_node(spark, tmp_path, monkeypatch):
+    """Half of the references on one node, a third without any; with and without a broadcast the same rows."""
+    import tagloom.core as core
+    from tagloom.operators.geometry import located_refs
+    from tagloom.operators.maps import MapTables
+
+    nodes = [(i, 100 + i, i * 10, None if i == 7 else i) for i in range(50)]
+    refs = [(i, p, *((100 + 3, 3) if i % 2 else (999, None) if i % 3 else (100 + i % 50, i % 50))) for i in range(300) for p in range(4)]
+    spark.createDataFrame(nodes, "idx bigint, osm_id bigint, lat int, lon int").write.parquet(f"{tmp_path}/node.parquet")
+    spark.createDataFrame(refs, "idx bigint, pos int, ref_osm_id bigint, node_idx bigint").write.parquet(f"{tmp_path}/way_ref.parquet")
+    m = MapTables(spark, str(tmp_path))
+
+    def rows():
+        return sorted(map(repr, located_refs(m).collect())), sorted(map(repr, m.resolved_refs().collect()))
+
+    small = rows()
+    monkeypatch.setattr(core, "BROADCAST_ROWS", 1)
+    assert rows() == small and len(small[0]) == 1200
+    assert sum(r.lat is None for r in located_refs(m).collect()) == sum(n is None or n == 7 for *_, n in refs)
+
+
+def test_broadcasts_are_measured_in_bytes(spark):
+    from tagloom.core import fits_broadcast
+
+    assert fits_broadcast(spark.range(1000)) and not fits_broadcast(spark.range(300_000))
+    assert not fits_broadcast(spark.range(20).selectExpr("id", "sequence(1L, 300000L) as trail")) and not fits_broadcast(spark.range(20).selectExpr("repeat('x', 2000000) as t"))

@@ -31,3 +31,7 @@ def test_latest_rows(spark, tmp_path):
     for rows in ([(1, 1, dt.datetime(2024, 1, 1)), (2, 1, dt.datetime(2024, 1, 1))], [(1, 2, dt.datetime(2024, 1, 2))], [(1, 2, dt.datetime(2024, 1, 2))]):
         keep_latest(spark.createDataFrame(rows, SCHEMA), target, ["idx"], ["version", "loaded_at"])
     assert {r.idx: r.version for r in spark.read.parquet(target).collect()} == {1: 2, 2: 1}
+    # a driver lost between the two renames leaves the table aside; the next call goes on from there
+    (tmp_path / "latest").rename(tmp_path / "latest.before")
+    keep_latest(spark.createDataFrame([(3, 1, None)], SCHEMA), target, ["idx"], ["version", "loaded_at"])
+    assert {r.idx: r.version for r in spark.read.parquet(target).collect()} == {1: 2, 2: 1, 3: 1}

@@ -72,3 +72,12 @@ def test_relations_like_a_reader_of_tags(spark):
     all_ = [list(x) for n in range(6) for x in itertools.product(kinds, repeat=n)]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(all_)], "i int, " + SCHEMA).select("i", t.classify_relation(F.col("tags")).alias("c")).collect()
     assert {r.i: r.c for r in rows} == {i: machine(x) for i, x in enumerate(all_)}
+
+
+def test_unsigned_edges(spark):
+    texts = {"12\n": None, "12\r": None, "\n12": None, " 12": None, "+": None, "++1": None, "-0": None, "+0": 0, "000": 0, "0" * 50 + "7": 7, "+" + "0" * 30 + "4294967295": 4294967295, "4294967296": None, "9" * 60: None, "1٣": None, "": None}
+    df = spark.createDataFrame(list(texts.items()), "s string, n bigint")
+    assert [r for r in df.select("s", "n", t.parse_unsigned(F.col("s"), 2**32 - 1).alias("x")).collect() if r.n != r.x] == []
+    big = spark.createDataFrame([(str(2**64 - 1),), (str(2**64),), (str(2**63 - 1),), (str(2**63),)], "s string")
+    assert [r[0] and int(r[0]) for r in big.select(t.parse_unsigned(F.col("s"), 2**64 - 1)).collect()] == [2**64 - 1, None, 2**63 - 1, 2**63]
+    assert [r[0] for r in big.select(t.parse_unsigned(F.col("s"), 2**63 - 1)).collect()] == [None, None, 2**63 - 1, None]
