@@ -1,9 +1,10 @@
 """Points near other points: adaptive coverage of a disc by cells, equi-joins, exact tests on the rim alone.
 
-The sphere is cut into bands of equal height and each band into cells of at least the same width. A point's disc is
-covered by the cells it can touch; coverage and points meet in an equi-join on the cell. Where a cell holds many points,
-its part of the coverage is refined to smaller cells: those wholly inside the disc accept their points at once, those
-that the rim crosses leave the exact distance to be tested, those outside drop out before the join.
+The sphere is cut into bands of equal height and each band into cells of at least the same width, and each cell into
+FINE x FINE parts. A point's disc is covered by the cells it can touch; coverage and points meet in an equi-join on the
+cell. Points in a part wholly inside the disc are accepted at once; for parts that the rim crosses the exact distance is
+tested. Where a cell holds many points, coverage and points are cut into parts before they meet, and parts outside the
+disc drop out; elsewhere that would make more copies of a point than it saves tests.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tagloom.core import lookup_join, materialise
 from tagloom.functions.geo import EARTH_RADIUS_M, haversine
 
-#: A cell of more points than this is refined, into FINE x FINE cells.
+#: A cell of more points than this is cut into FINE x FINE parts before the join: a disc touches about so many of them.
 DENSE = 48
 FINE = 16
 #: Height of a cell in distances: larger cells mean fewer copies of each point, smaller ones fewer exact tests.
@@ -87,13 +88,7 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
     there = lookup_join(there, crowded, "key", "left")
 
     once = F.when(F.col("same"), F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2"))
-    loose = (
-        cover.where("crowded is null").drop("crowded").join(there.where("crowded is null").drop("crowded"), "key")
-        .where(once)
-        .withColumn("metres", haversine(deg("lat"), deg("lon"), deg("lat2"), deg("lon2"))).where(F.col("metres") <= metres)
-    )
-
-    # crowded cells: FINE x FINE parts
+    # FINE x FINE parts of a cell
     to, at = F.shiftright("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
     n = _cells_of(to, step)
 
@@ -103,7 +98,7 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
         return F.greatest(F.lit(0), F.least(F.lit(FINE - 1), up)), F.greatest(F.lit(0), F.least(F.lit(FINE - 1), along))
 
     up, along = part("lat2", "lon2")
-    fine_there = there.where("crowded").withColumn("part", (up * FINE + along).cast("int")).drop("crowded")
+    parted = (up * FINE + along).cast("int")
     i, j = F.floor(F.col("part") / FINE), F.col("part") % FINE
     south, north = (to + i / FINE) * step - math.pi / 2, (to + (i + 1) / FINE) * step - math.pi / 2
     west = (at + j / FINE) / n * 2 * math.pi
@@ -115,26 +110,35 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
     least_lon, most_lon = F.greatest(F.lit(0.0), mid - wide / 2), F.least(F.lit(math.pi), mid + wide / 2)
     least_lat = F.greatest(F.lit(0.0), south - phi, phi - north)
     most_lat = F.greatest(F.abs(south - phi), F.abs(north - phi))
-    # hav(d) = hav(dlat) + cos cos hav(dlon), with the largest and smallest cosine in the part
+    # hav(d) = hav(dlat) + cos cos hav(dlon), with the largest and smallest cosine in the part; hav(x) is at most x * x / 4
     big, small = F.greatest(F.cos(south), F.cos(north), F.when((south <= 0) & (north >= 0), 1.0).otherwise(0.0)), F.greatest(F.lit(0.0), F.least(F.cos(south), F.cos(north)))
 
     def hav(x: Column) -> Column:
         return F.pow(F.sin(x / 2), 2)
 
     nearest = hav(least_lat) + F.cos(phi) * small * hav(least_lon)
-    farthest = hav(most_lat) + F.cos(phi) * big * hav(most_lon)
+    farthest = (most_lat * most_lat + F.cos(phi) * big * most_lon * most_lon) / 4
     bound = math.sin(metres / EARTH_RADIUS_M / 2) ** 2
     # points sit in a part up to rounding: a part counts as inside or outside only by a margin
+    inside = farthest <= bound * (1 - 1e-4)
+    distance = haversine(deg("lat"), deg("lon"), deg("lat2"), deg("lon2"))
+    # the usual cell: its few points are met as they are, and those in inner parts of the disc need no test
+    loose = (
+        cover.where("crowded is null").drop("crowded").join(there.where("crowded is null").drop("crowded"), "key")
+        .where(once).withColumn("part", parted).withColumn("metres", distance).where(inside | (F.col("metres") <= metres))
+    )
+    # crowded cells: parts outside drop out before the join
+    fine_there = there.where("crowded").withColumn("part", parted).drop("crowded")
     fine_cover = (
         cover.where("crowded").drop("crowded")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FINE * FINE - 1))))
         .where(nearest <= bound * (1 + 1e-4) + 1e-20)
-        .withColumn("inside", farthest <= bound * (1 - 1e-4))
+        .withColumn("inside", inside)
     )
     tight = (
         fine_cover.join(fine_there, ["key", "part"])
         .where(once)
-        .withColumn("metres", haversine(deg("lat"), deg("lon"), deg("lat2"), deg("lon2")))
+        .withColumn("metres", distance)
         .where(F.col("inside") | (F.col("metres") <= metres))
     )
     cols = [F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b"), "metres"]
