@@ -16,6 +16,7 @@ from tagloom.sources.render import draw_features, draw_roads
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tagloom", description=__doc__)
+    p.add_argument("-v", "--verbose", action="count", default=0, help="log what Spark does; twice for details")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("compile", help="write a dataset of a .osm.pbf file")
     c.add_argument("input")
@@ -43,6 +44,8 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tagloom").getOrCreate()
+    if args.verbose:
+        spark.sparkContext.setLogLevel("INFO" if args.verbose == 1 else "DEBUG")
     try:
         return _run(args, spark)
     except Exception as e:  # noqa: BLE001 - a command line reports and ends

@@ -130,7 +130,7 @@ def widen(tags: DataFrame, types: DataFrame, column_share: float | None = COLUMN
 
     types (k, col_name, col_type) names typed columns: int (BIGINT), double, boolean, date or text. Further keys
     with at least column_share as many rows as there are entities (about 2 % more or less, as these are estimated) get text
-    columns (k_...); all others stand in the map `other`, so nothing is lost however many keys there are. column_share 0
+    columns (k_..., the key is in the column's metadata); all others stand in the map `other`, so nothing is lost however many keys there are. column_share 0
     gives every key a column, an error beyond MOST_COLUMNS; None gives only the columns of types.
 
     A column has the value of the lowest pos (a NULL pos comes last; at equal pos the lowest text). issues is an array of
@@ -182,4 +182,13 @@ def widen(tags: DataFrame, types: DataFrame, column_share: float | None = COLUMN
     hot = is_hot(["kind", "idx"], plain)
     once = plain if hot is None else plain.where(~hot).unionByName(plain.where(hot).distinct())
     ordered = once.repartition("kind", "idx").distinct().sortWithinPartitions("kind", "idx", "k", F.col("pos").asc_nulls_last(), "v")
-    return ordered.select("kind", "idx", "k", "v").mapInArrow(run, schema)
+    wide = ordered.select("kind", "idx", "k", "v").mapInArrow(run, schema)
+    return wide.select("kind", "idx", *[F.col(f"`{c.replace('`', '``')}`").alias(c, metadata={"key": k}) for k, c, _ in columns], "other", "issues")
+
+
+def texts_of(wide: DataFrame) -> DataFrame:
+    """(kind, idx, k, v): widen()'s result as rows again, as far as its values are texts."""
+    columns = [f for f in wide.schema if "key" in f.metadata and f.dataType.typeName() == "string"]
+    held = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f.metadata["key"]) for f in columns]), F.array(*[F.col(f"`{f.name.replace('`', '``')}`") for f in columns])), lambda _, v: v.isNotNull()) if columns else None
+    every = F.col("other") if held is None else F.map_concat(held, "other")
+    return wide.select("kind", "idx", F.explode(every).alias("k", "v"))

@@ -96,6 +96,7 @@ SQL: dict[str, str] = {
     "p4_withheld": f"""{_QUANTITIES}, c as (select k, source, count(*) as n from named where bare and unit is null and regexp_matches(t, '[1-9]') and not starts_with(t, '-') group by 1, 2)
       select c.k, source, d.unit as declared, d.unit as estimated from c join decl d on d.source_name = source and d.k = c.k where n >= 20""",
     "p6_typed": f"with {_FIRST} select t.kind, t.idx, {_typed_columns()} from (select distinct kind, idx from t) t left join f on f.kind = t.kind and f.idx = t.idx group by t.kind, t.idx",
+    "p6_texts": f"with {_FIRST} select kind, idx, f.k, f.v from f left join attr_type a on a.k = f.k where coalesce(col_type, 'text') = 'text'",
     "p6_found": f"""with {_FIRST} select kind, idx, k, 'conflict' as issue from f where n > 1
       union all select kind, idx, f.k, 'unfit' from f join attr_type a on a.k = f.k where {_unfit()}""",
     "p5_found": f"select idx, root_idx, depth from ({_PATHS}) where depth <> 0",

@@ -14,7 +14,7 @@ from tagloom.operators.hierarchy import circle_descendants, descendants, hierarc
 from tagloom.operators.maps import COORD_SCALE, MapTables, degrees, first_tag
 from tagloom.operators.near import pairs_within
 from tagloom.operators.units import COMMON, LEAST, read_units
-from tagloom.operators.wide import widen
+from tagloom.operators.wide import texts_of, widen
 from tagloom.sources.tables import table, tag_rows
 
 
@@ -79,6 +79,11 @@ def p6_wide(spark: SparkSession, folder: str) -> DataFrame:
     return widen(tag_rows(spark, folder), table(spark, folder, "attr_type"), report_keyless=True)
 
 
+def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of p6_wide as a row again, whether it stands in a column or in the map."""
+    return texts_of(p6_wide(spark, folder))
+
+
 def p6_typed(spark: SparkSession, folder: str) -> DataFrame:
     """Only the columns that attr_type names."""
     return widen(tag_rows(spark, folder), table(spark, folder, "attr_type"), None).drop("other", "issues")
@@ -442,6 +447,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on(f) for
     "p5_unfollowed": p5_unfollowed,
     "p6_found": p6_found,
     "p6_wide": p6_wide,
+    "p6_texts": p6_texts,
     "p6_typed": p6_typed,
     "p7_found": p7_found,
     "p7_near": p7_near,
