@@ -112,14 +112,15 @@ def classify_relations(m: MapTables) -> DataFrame:
     return places.select("idx", relation_category(first["m"], first["p"], first["l"], *after).alias("category")).where("category is not null")
 
 
-def rings(m: MapTables, relations: DataFrame) -> DataFrame:
-    """rel_idx, member_pos, pos, lat, lon and the further columns of relations (idx, ...): their outlines, in order of members and references.
+def rings(m: MapTables, relations: DataFrame, roles: tuple[str, ...] = ("outer",)) -> DataFrame:
+    """rel_idx, member_pos, pos, lat, lon and the further columns of relations (idx, ...): their outlines, in order of members and references,
+    from the member ways with these roles.
 
     Relations with an unresolved outer way or a reference without position are left out; those without outer ways have no
     rows. Only the references of outer ways are looked up.
     """
     more = [c for c in relations.columns if c != "idx"]
-    outer = m.members.where("mtype = 'way' and role = 'outer'").join(relations, "idx").select(F.col("idx").alias("rel_idx"), F.col("pos").alias("member_pos"), F.col("ref_idx").alias("idx"), *more)
+    outer = m.members.where((F.col("mtype") == "way") & F.col("role").isin(*roles)).join(relations, "idx").select(F.col("idx").alias("rel_idx"), F.col("pos").alias("member_pos"), F.col("ref_idx").alias("idx"), *more)
     lines = outer.join(located_refs(m, outer.where("idx is not null").select("idx").distinct()), "idx", "left")
     bad = F.count_if(F.expr("idx is null or (pos is not null and lat is null)")).over(Window.partitionBy("rel_idx"))
     return lines.withColumn("_bad", bad).where("_bad = 0 and pos is not null").select("rel_idx", "member_pos", "pos", "lat", "lon", *more)

@@ -242,4 +242,11 @@ _MAP_SQL = {
     "block_order": """, bs as (select case kind when 'node' then 0 when 'way' then 1 else 2 end as kind_order, idx // 8000 as block, min(osm_id) as first_id, count(*) as n from e group by 1, 2)
       select row_number() over (order by kind_order, block) - 1 as place, kind_order, block, first_id, n from bs""",
 }
+#: Ray casting: every node against every edge of every outline.
+_MAP_SQL["p7_regions"] = """, mem as (select rm.idx as rel_idx, rm.pos as member_pos, rm.ref_idx from rm join cr on cr.idx = rm.idx where mtype = 'way' and role in ('outer', 'inner')),
+      mp as (select m.rel_idx, m.member_pos, m.ref_idx, p.pos, p.lat, p.lon from mem m left join pts p on p.idx = m.ref_idx),
+      mg as (select * from mp where pos is not null and rel_idx not in (select rel_idx from mp where ref_idx is null or (pos is not null and lat is null))),
+      eg as (select rel_idx, lon as x1, lat as y1, coalesce(lead(lon) over o, first(lon) over o) as x2, coalesce(lead(lat) over o, first(lat) over o) as y2 from mg window o as (partition by rel_idx, member_pos order by pos)),
+      hit as (select eg.rel_idx, pl.node_idx as idx from eg join pl on (y1 > pl.lat) <> (y2 > pl.lat) and pl.lon < (x1 + (x2 - x1) * (pl.lat - y1) / (y2 - y1)))
+      select rel_idx, idx from hit group by rel_idx, idx having count(*) % 2 = 1"""
 SQL |= {name: _MAPS + sql for name, sql in _MAP_SQL.items()}

@@ -13,6 +13,7 @@ from tagloom.operators import dictionary, geometry
 from tagloom.operators.hierarchy import circle_descendants, descendants, hierarchy, paths, unfollowed
 from tagloom.operators.maps import COORD_SCALE, MapTables, degrees, first_tag
 from tagloom.operators.near import pairs_within
+from tagloom.operators.regions import points_in_regions
 from tagloom.operators.units import COMMON, LEAST, read_units
 from tagloom.operators.wide import texts_of, widen
 from tagloom.sources.tables import table, tag_rows
@@ -103,6 +104,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_near(spark, folder).select("idx_a", "idx_b")
 
 
+def p7_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """For every node position the parks and waters whose outlines, without what lies in inner ones, hold it."""
+    m = MapTables(spark, folder)
+    outlines = geometry.rings(m, geometry.classify_relations(m).select("idx"), ("outer", "inner"))
+    held = points_in_regions(m.positions(), outlines.select(F.col("rel_idx").alias("region"), F.col("member_pos").alias("ring"), "pos", "lat", "lon"), "node_idx")
+    return held.select(F.col("region").alias("rel_idx"), F.col("id").alias("idx"))
+
+
 Maps = Callable[[MapTables], DataFrame]
 
 
@@ -451,4 +460,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _on(f) for
     "p6_typed": p6_typed,
     "p7_found": p7_found,
     "p7_near": p7_near,
+    "p7_regions": p7_regions,
 }
