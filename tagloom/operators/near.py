@@ -1,7 +1,7 @@
 """Points near other points: adaptive coverage of a disc by cells, equi-joins, exact tests on the rim alone.
 
-The sphere is cut into bands of equal height and each band into cells of at least the same width, and each cell into
-FINE x FINE parts. A point's disc is covered by the cells it can touch; coverage and points meet in an equi-join on the
+The sphere is cut into bands of equal height and each band into cells of at least the same width, and cells into parts of
+1 / FINE of their height. A point's disc is covered by the cells it can touch; coverage and points meet in an equi-join on the
 cell. Points in a part wholly inside the disc are accepted at once; for parts that the rim crosses the exact distance is
 tested. Where a cell holds many points, coverage and points are cut into parts before they meet, and parts outside the
 disc drop out; elsewhere that would make more copies of a point than it saves tests.
@@ -122,10 +122,15 @@ def pairs_within(points: DataFrame, metres: float, id_col: str = "idx", lat_col:
     # points sit in a part up to rounding: a part counts as inside or outside only by a margin
     inside = farthest <= bound * (1 - 1e-4)
     distance = haversine(deg("lat"), deg("lon"), deg("lat2"), deg("lon2"))
-    # the usual cell: its few points are met as they are, and those in inner parts of the disc need no test
+    # the usual cell: its few points are met as they are, and those in inner parts of the disc need no test. Here parts have
+    # the same height and width in degrees; |x - floor(y) - 1/2| + 1/2 is the way to the further edge of y's part
+    part_size = step / FINE
+    ways = [F.abs(F.radians(deg(a)) / part_size - F.floor(F.radians(deg(b)) / part_size) - 0.5) + 0.5 for a, b in (("lat", "lat2"), ("lon", "lon2"))]
+    across = F.cos(phi) * (F.cos(phi) + ways[0] * part_size)  # a cosine grows by no more than the angle
+    inner = ways[0] * ways[0] + across * ways[1] * ways[1] <= 4 * bound * (1 - 1e-4) / part_size**2
     loose = (
         cover.where("crowded is null").drop("crowded").join(there.where("crowded is null").drop("crowded"), "key")
-        .where(once).withColumn("part", parted).withColumn("metres", distance).where(inside | (F.col("metres") <= metres))
+        .where(once).where(inner | (distance <= metres)).withColumn("metres", distance)
     )
     # crowded cells: parts outside drop out before the join
     fine_there = there.where("crowded").withColumn("part", parted).drop("crowded")
