@@ -214,7 +214,8 @@ def count_terms(rows: DataFrame, record: tuple[str, ...], fields: tuple[str, ...
     some = F.coalesce(*[F.col(f"_f{i}") for i in range(len(fields))]).isNotNull()
     keys = [f"_r{i}" for i in range(len(record))]
     terms = [F.struct(F.lit(f).alias("field"), F.col(f"_f{i}").cast("binary").alias("term")) for i, f in enumerate(fields)]
-    terms = F.array(*terms, F.struct(F.lit("").alias("field"), F.when(some, F.lit("").cast("binary")).alias("term")))
+    # rows with any term are those with one in the first field and, few as a rule, these
+    terms = F.array(*terms, F.struct(F.lit("").alias("field"), F.when(some & F.col("_f0").isNull(), F.lit("").cast("binary")).alias("term")))
 
     def of_records(part: DataFrame) -> DataFrame:
         exploded = part.distinct().select(*keys, F.explode(terms).alias("t")).select(*keys, "t.field", "t.term").where(F.col("term").isNotNull())
@@ -226,6 +227,9 @@ def count_terms(rows: DataFrame, record: tuple[str, ...], fields: tuple[str, ...
     if hot is not None:
         counted = counted.unionByName(of_records(plain.where(hot)))
     subtrees = materialise(counted.mapInArrow(_count, _SUBTREES), "subtrees")
+    of_field = subtrees.where(F.col("field").isin(fields[0], "")).agg(F.sum(F.aggregate("occurrences", F.lit(0).cast("bigint"), lambda a, n: a + n)).alias("n"))
+    rows_with, records = of_field.first().n, plain.where(some).select(*keys).distinct().count()
+    subtrees = subtrees.where("field <> ''")
     bounds = routing(subtrees, most)
     shared = rows.sparkSession.sparkContext.broadcast(bounds)
 
@@ -250,7 +254,9 @@ def count_terms(rows: DataFrame, record: tuple[str, ...], fields: tuple[str, ...
                 yield pa.RecordBatch.from_arrays([pa.array([to] * out.num_rows, pa.int32()), *out.columns], ["bound", *out.schema.names])
 
     merged = subtrees.mapInArrow(route, "bound int, " + _SUBTREES).repartition("bound").sortWithinPartitions("bound")
-    return merged.mapInArrow(_merge, "field string, term binary, occurrences bigint, records bigint").withColumn("term", F.col("term").cast("string"))
+    found = merged.mapInArrow(_merge, "field string, term binary, occurrences bigint, records bigint").withColumn("term", F.col("term").cast("string"))
+    whole = rows.sparkSession.createDataFrame([("", "", rows_with, records)] if records else [], "field string, term string, occurrences bigint, records bigint")
+    return found.unionByName(whole)
 
 
 def mark_terms(counts: DataFrame, rare: int = 2, common: int = 20) -> DataFrame:
