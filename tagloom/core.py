@@ -116,10 +116,11 @@ def dense_ids(df: DataFrame, order: list[str], name: str, partitions: int | None
     Range partitions are sorted on their own; only one count for each partition goes to the driver.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) for c in order]
+    # without a number small neighbouring ranges become one
+    ranges = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
     ranked = materialise(
-        df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id()),
+        ranges.sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id()),
         "ranked",
     )
     part = F.shiftright("_at", 33)

@@ -14,9 +14,8 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     Range partitions sum on their own; one total for each goes to the driver.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) for c in order]
-    ranked = materialise(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    ranked = materialise(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_at", 33)
     totals = sorted((r[0], r[1]) for r in ranked.groupBy(part.alias("p")).agg(F.sum(value).alias("s")).collect())
     starts, total = [], 0

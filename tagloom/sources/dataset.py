@@ -165,23 +165,25 @@ class DatasetTables(MapTables):
 
 
 def _unpacked(spark: SparkSession, path: str) -> str:
-    """The folder, in the shared one, of the files of a tar; they are copied one by one, in pieces."""
+    """The folder, in the shared one, of the dataset in a tar, whatever folder of the tar it is in; files are copied one by one, in pieces."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = f"{shared_dir(spark)}/tagloom-tar-{uuid.uuid4().hex}"
     keep(spark, target)
-    fs = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(conf)
+    fs, root = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(conf), ""
     with tarfile.open(path.removeprefix("file:")) as tar:
         for member in tar:
             name = os.path.normpath(member.name)
             if not member.isfile() or name.startswith(("..", "/")) or os.path.basename(name).startswith((".", "_")):
                 continue
+            above, found, _ = f"/{name}".partition("/header/")
+            root = above if found else root
             source, out = tar.extractfile(member), fs.create(jvm.org.apache.hadoop.fs.Path(f"{target}/{name}"))
             try:
                 while piece := source.read(4 << 20):
                     out.write(piece)
             finally:
                 out.close()
-    return target
+    return target + root
 
 
 def explode_tags(entities: DataFrame) -> DataFrame:

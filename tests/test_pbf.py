@@ -167,7 +167,7 @@ def test_every_map_query_with_and_without_ids(spark, sf, tmp_path):
     data.save(str(tmp_path / "with"))
     MapDataset.open(spark, str(tmp_path / "with")).save(str(tmp_path / "without"), ids=False)
     with tarfile.open(tmp_path / "packed.tar", "w") as tar:
-        tar.add(tmp_path / "without", ".")
+        tar.add(tmp_path / "without", "map")
     a, b = MapDataset.open(spark, str(tmp_path / "with")).tables(), MapDataset.open(spark, str(tmp_path / "packed.tar")).tables()
     shown = {"scan_nodes", "scan_ways", "scan_relations", "debug_nodes", "debug_ways", "debug_relations"}
     raised = set()
